@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, language_id, runtime, token_counts
+from pagemill.llm import bpe, language_id, runtime, token_counts, topk
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -22,6 +22,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, model, keep=["doc_id", language_id.held_out().alias("held_out")])
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").where(topk.usable(F.col("embedding")))
+    return topk.top_k(vectors.select("vec_id", topk.quantise(F.col("embedding")).alias("v")), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = runtime.read_small_file(public_tokenizers.path(BYTE_VOCABULARY))
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
@@ -34,6 +39,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_topk": op2_topk,
     "op3_token_counts": op3_token_counts,
     "op5_bpe": op5_bpe,
 }

@@ -3,7 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagemill.llm import bpe, byte_level, runtime, token_counts
@@ -46,14 +46,17 @@ def test_tree_equals_the_library(word_json, leaf, word_leaf, window):
         assert encoder.decode(want) == library.decode(want, skip_special_tokens=False)
 
 
-@settings(max_examples=150, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@pytest.fixture(scope="module")
+def small(word_json, byte_json):
+    return bpe.Encoder(word_json, 48, 8, 2), token_counts.Counter(byte_json, token_counts.prove_whole_tokens(byte_json))
+
+
+@settings(max_examples=150, deadline=None)
 @given(st.text(max_size=400))
-def test_any_text(word_json, byte_json, text):
+def test_any_text(small, word_json, byte_json, text):
     text = text.encode("utf-8", "ignore").decode()
-    encoder = test_any_text.__dict__.setdefault("encoder", bpe.Encoder(word_json, 48, 8, 2))
-    counter = test_any_text.__dict__.setdefault("counter", token_counts.Counter(byte_json, token_counts.prove_whole_tokens(byte_json)))
-    assert encoder.encode(text) == byte_level.tokenizer(word_json).encode(text, add_special_tokens=False).ids
-    assert counter.count(text) == len(byte_level.tokenizer(byte_json).encode(text, add_special_tokens=False).ids)
+    assert small[0].encode(text) == byte_level.tokenizer(word_json).encode(text, add_special_tokens=False).ids
+    assert small[1].count(text) == len(byte_level.tokenizer(byte_json).encode(text, add_special_tokens=False).ids)
 
 
 def test_frames_with_odd_rows(spark, word_json, byte_json):
