@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, language_id, runtime, token_counts, topk
+from pagemill.llm import bpe, chat, language_id, runtime, token_counts, topk, warc
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -37,10 +37,28 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=[F.col("doc_id")], with_ids=False, with_text=False)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = runtime.fresh_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ODD_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = runtime.read_small_file(public_tokenizers.path(BYTE_VOCABULARY))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_chats(turns.unionByName(odd), vocabulary))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_topk": op2_topk,
     "op3_token_counts": op3_token_counts,
     "op5_bpe": op5_bpe,
+    "op8_warc": op8_warc,
+    "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {}

@@ -20,7 +20,7 @@ queries' (the query's own length decides), or that hold a null or non-finite
 component take no part. A query is never its own candidate: candidates with
 the query's id are left out, so rows that repeat an id do not find each other.
 Ties go to the smaller id. Fewer candidates than k give all of them. An empty
-table gives no rows.
+table gives no rows. Scores beyond the range of a long fail.
 """
 
 from __future__ import annotations
@@ -91,7 +91,9 @@ class Searcher:
             (live,) = np.nonzero(self.length * length[i] + slack >= self.threshold)
             if not len(live):
                 continue
-            self._block(live, ids[at], vectors[at], rotated[at], slack[live])
+            for j in range(0, len(live), BLOCK):
+                some = live[j : j + BLOCK]
+                self._block(some, ids[at], vectors[at], rotated[at], slack[some])
 
     def _block(self, live: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, slack: np.ndarray) -> None:
         first = self.cuts[0]

@@ -19,7 +19,7 @@ def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "LONGEST", 20)
     raw = [(i, (rng.normal(size=8) * rng.choice([0.2, 1, 3])).tolist()) for i in range(300)]
     raw += [(i, raw[0][1]) for i in range(300, 360)]  # one common vector
-    raw += [(400, [0.0] * 8), (420, [1e9] * 8), (440, [-1e9] * 8)]
+    raw += [(400, [0.0] * 8), (420, [1e7] * 8), (440, [-1e7] * 8)]
     bad = [(500, None), (520, [1.0] * 7 + [float("nan")]), (540, [1.0] * 7 + [float("inf")]), (560, [1.0] * 7 + [None]), (None, [1.0] * 8), (580, [])]
     df = spark.createDataFrame([(i, v, "x") for i, v in raw + bad], "vec_id long, embedding array<double>, rank string").repartition(5)
     ready = df.where(topk.usable(F.col("embedding"))).withColumn("v", topk.quantise(F.col("embedding")))
