@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, language_id, runtime, token_counts, topk, warc
+from pagemill.llm import bpe, chat, language_id, minhash, runtime, token_counts, topk, warc
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -43,6 +43,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 ODD_TEXT = r"\### Assistant: </turn> ok"
 
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_bpe": op5_bpe,
     "op8_warc": op8_warc,
+    "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
 }
 ORACLES: dict[str, str] = {}
