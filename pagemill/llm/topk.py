@@ -8,7 +8,8 @@ query a first threshold. Then each partition takes its vectors in order of
 descending length, block by block: a block is skipped for the queries whose
 length times the block's greatest length stays below their threshold, partial
 sums over the first rotated components plus the Cauchy-Schwarz bound on the
-rest rule out single pairs, and only what survives is scored in full. Thresholds
+rest rule out pairs, queries and vectors, and only what survives is scored in
+full. Thresholds
 rise as a partition proceeds; each partition gives at most k rows a query, and
 Spark keeps the k best of those.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import runtime
 
 QUERY_BLOCK = 16384
-BLOCK = 2048
+BLOCK = 1024
 LONGEST = 4096
 #: Rotated components in the first and second partial sum, as shares of the dimension.
 STAGES = (0.25, 0.5)
@@ -96,29 +97,41 @@ class Searcher:
                 self._block(some, ids[at], vectors[at], rotated[at], slack[some])
 
     def _block(self, live: np.ndarray, ids: np.ndarray, vectors: np.ndarray, rotated: np.ndarray, slack: np.ndarray) -> None:
-        first = self.cuts[0]
-        partial = self.rotated[live, :first] @ rotated[:, :first].T
-        rest = np.sqrt((rotated[:, first:] ** 2).sum(axis=1))
-        q, c = np.nonzero(partial + self.rest[0][live, None] * rest[None, :] + slack[:, None] >= self.threshold[live, None])
-        done, sums = first, partial[q, c]
-        for cut, own_rest in zip(self.cuts[1:], self.rest[1:], strict=True):
-            keep_q, keep_c, keep_s = [], [], []
-            rest = np.sqrt((rotated[:, cut:] ** 2).sum(axis=1))
-            for j in range(0, len(q), 1 << 18):
-                a, b = q[j : j + (1 << 18)], c[j : j + (1 << 18)]
-                s = sums[j : j + (1 << 18)] + np.einsum("ij,ij->i", self.rotated[live[a], done:cut], rotated[b, done:cut])
-                on = s + own_rest[live[a]] * rest[b] + slack[a] >= self.threshold[live[a]]
-                keep_q.append(a[on])
-                keep_c.append(b[on])
-                keep_s.append(s[on])
-            q, c, sums, done = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keep_q, keep_c, keep_s, [np.array([cut])]))
-            done = int(done[0])
-        for j in range(0, len(q), 1 << 18):
-            a, b = live[q[j : j + (1 << 18)]], c[j : j + (1 << 18)]
-            score = _exact(self.queries[a], vectors[b])
-            on = (score >= self.threshold[a]) & (ids[b] != self.ids[a])
-            self.found_q = np.concatenate([self.found_q, a[on]])
-            self.found_id = np.concatenate([self.found_id, ids[b][on]])
+        """One block of candidates for some queries: bounds rule out pairs, rows and columns; the rest is scored in full."""
+        rows, cols, partial, done = np.arange(len(live)), np.arange(len(ids)), 0.0, 0
+        for cut, own_rest in zip(self.cuts, self.rest, strict=True):
+            partial = partial + self.rotated[live[rows], done:cut] @ rotated[cols, done:cut].T
+            rest = np.sqrt((rotated[cols, cut:] ** 2).sum(axis=1))
+            bound = np.multiply.outer(own_rest[live[rows]], rest)
+            bound += partial
+            alive = bound >= (self.threshold[live[rows]] - slack[rows])[:, None]
+            n = np.count_nonzero(alive)
+            if not n:
+                return
+            if n < 0.02 * alive.size:
+                r, c = np.nonzero(alive)
+                self._take(live[rows[r]], ids[cols[c]], _exact(self.queries[live[rows[r]]], vectors[cols[c]]))
+                return
+            keep_r, keep_c = alive.any(axis=1), alive.any(axis=0)
+            partial, rows, cols, done = partial[np.ix_(keep_r, keep_c)], rows[keep_r], cols[keep_c], cut
+        q, x = self.queries[live[rows]], vectors[cols]
+        if np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * q.shape[1] >= 2**53:
+            r, c = (g.ravel() for g in np.indices((len(rows), len(cols))))
+            self._take(live[rows[r]], ids[cols[c]], _exact(q[r], x[c]))
+            return
+        score = q @ x.T  # integers below 2**53, so exact
+        score[self.ids[live[rows]][:, None] == ids[cols][None, :]] = -np.inf
+        floor = self.threshold[live[rows]]
+        if len(cols) > self.k:
+            floor = np.maximum(floor, np.partition(score, len(cols) - self.k, axis=1)[:, len(cols) - self.k])
+        r, c = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+        self._take(live[rows[r]], ids[cols[c]], score[r, c].astype(np.int64))
+
+    def _take(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        on = (score >= self.threshold[q]) & (ids != self.ids[q])
+        if on.any():
+            self.found_q = np.concatenate([self.found_q, q[on]])
+            self.found_id = np.concatenate([self.found_id, ids[on]])
             self.found_score = np.concatenate([self.found_score, score[on]])
             self._trim()
 
