@@ -24,13 +24,14 @@ connected components of that relation.
    threshold are links.
 4. Links are contracted to components by large-star and small-star rounds, with
    the edges written to the shared folder in each round.
-5. Members of one key that are still in different components are compared too,
-   as they may be links that their hub does not show. The distance 1 - J is a
-   metric, and both distances to the hub are known: only pairs whose distances
-   differ by at most 1 - threshold can be links.
+5. Texts that share a key with one in another component may have links that
+   their hub does not show. Among these, an exact prefix filter with places
+   finds the pairs in different components that can reach the threshold, and
+   they are compared like the others. Members of a large component never meet
+   each other.
 
-So every pair that shares a key is either compared, ruled out by sizes or by the
-triangle inequality, or already in one class; there is no cap on partners.
+So every pair that shares a key is compared, proven to be below the threshold,
+or already in one class; there is no cap on partners.
 
 Defined results: a null text is a class of its own. Texts of fewer than five
 words have one shingle, of all their words. Texts without a word are in a class
@@ -58,6 +59,8 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 EPSILON = 1e-9
+#: Counters of the table that orders elements.
+COUNTERS = 1 << 20
 #: Most bytes of text hashed at once.
 CHUNK = 4 << 20
 
@@ -331,26 +334,84 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     seen = runtime.written(_compared(pairs, texts, words, by_count), "dedup-compared")
     links = seen.where(F.col("j") >= threshold - EPSILON).select("a", "b")
     classes = runtime.written(components(links), "dedup-classes")
-    found = runtime.written(_compared(_missed(met, classes, seen, threshold), texts, words, by_count).where(F.col("j") >= threshold - EPSILON), "dedup-more")
+    members = runtime.written(_members(met, classes, seen), "dedup-open")
+    found = runtime.written(_compared(_missed(members, texts, threshold, words, by_count), texts, words, by_count).where(F.col("j") >= threshold - EPSILON), "dedup-more")
     if found.limit(1).count():
         classes = runtime.written(components(links.unionAll(found.select("a", "b"))), "dedup-classes")
     of = signed.select("id", "words").join(classes.withColumnRenamed("id", "words"), "words", "left").select("id", F.coalesce("class", "words").alias("class"))
     of = runtime.written(of, "dedup-members")
-    named = of.join(of.groupBy("class").agg(F.min("id").alias("class_id")), "class").groupBy("id").agg(F.min("class_id").alias("class_id")).withColumnRenamed("id", "__id")
+    least = runtime.written(of.groupBy("class").agg(F.min("id").alias("class_id")), "dedup-least")
+    named = of.join(least, "class").groupBy("id").agg(F.min("class_id").alias("class_id")).withColumnRenamed("id", "__id")
     named = runtime.written(named, "dedup-named")
     return docs.where(F.col(key).isNotNull()).join(named, F.col(f"`{key}`").cast("long") == F.col("__id"), "left").select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(named["class_id"], docs[f"`{key}`"].cast("long")).alias("class_id"))
 
 
-def _missed(met: DataFrame, classes: DataFrame, seen: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a key, are in different components, and that neither sizes nor the hub's distances rule out."""
+def _members(met: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFrame:
+    """Texts that share a key with one in another component: words, c and whether the text is a stray, in another component than a hub of its keys."""
     own = classes.select(F.col("id").alias("words"), F.col("class").alias("c"))
     hubs = classes.select(F.col("id").alias("hub"), F.col("class").alias("hc"))
-    pairs = seen.select(F.col("a").alias("words"), F.col("b").alias("hub"), "j")
-    pairs = pairs.join(own, "words", "left").join(hubs, "hub", "left")
-    pairs = pairs.select("words", "hub", "j", F.coalesce("c", "words").alias("c"), (F.coalesce("c", "words") != F.coalesce("hc", "hub")).alias("stray"))
-    # keys all of whose members are in their hub's component are done
-    members = runtime.written(met.join(pairs, ["words", "hub"]), "dedup-pending")
-    strays = members.where("stray").select("band", F.col("words").alias("a"), F.col("size").alias("sa"), F.col("j").alias("ja"), F.col("c").alias("ca"))
-    others = members.join(strays.select("band").distinct(), "band", "left_semi").select("band", F.col("words").alias("b"), F.col("size").alias("sb"), F.col("j").alias("jb"), F.col("c").alias("cb"), F.col("stray").alias("tb"))
-    open_pair = (F.col("ca") != F.col("cb")) & (~F.col("tb") | (F.col("a") < F.col("b"))) & (F.abs(F.col("ja") - F.col("jb")) <= 1 - threshold + EPSILON) & (F.least("sa", "sb") >= (threshold - EPSILON) * F.greatest("sa", "sb"))
-    return strays.join(others, "band").where(open_pair).select("a", "b").distinct()
+    pairs = seen.select(F.col("a").alias("words"), F.col("b").alias("hub")).join(own, "words", "left").join(hubs, "hub", "left")
+    pairs = pairs.select("words", "hub", F.coalesce("c", "words").alias("c"), (F.coalesce("c", "words") != F.coalesce("hc", "hub")).alias("stray"))
+    joined = runtime.written(met.join(pairs, ["words", "hub"]).select("band", "words", "c", "stray"), "dedup-keyed")
+    open_keys = joined.where("stray").select("band").distinct()
+    return joined.join(open_keys, "band", "left_semi").groupBy("words").agg(F.max("stray").alias("stray"), F.min("c").alias("c"))
+
+
+def _elements(texts: list[str], words: int, by_count: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of each set; with counts, each repeat of a shingle is an element of its own."""
+    values, counts, _ = shingles(texts, words)
+    elements, weights, n = weighted(values, counts, by_count)
+    if not by_count:
+        return elements, n
+    repeats = weights.astype(np.int64)
+    nth = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+    return mix(np.repeat(elements, repeats) + mix(nth.astype(np.uint64))), np.bincount(np.repeat(np.arange(len(n)), n), repeats, minlength=len(n)).astype(np.int64)
+
+
+def _missed(members: DataFrame, texts: DataFrame, threshold: float, words: int, by_count: bool) -> DataFrame:
+    """Pairs of a stray and a text in another component that may reach the threshold, by an exact prefix filter.
+
+    In one order of all elements, two sets with J >= threshold share one among
+    the first n - ceil(threshold * n) + 1 of each, and the places of the first
+    that they share leave room for the overlap that J needs. Any order is exact;
+    rare elements first makes few pairs, so elements are ordered by a table of
+    counts of bounded size.
+    """
+    spark = texts.sparkSession
+    wanted = texts.join(members, "words").select("words", "t", "c", "stray")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            all_texts = batch.column("t").to_pylist()
+            for part in runtime.slices(all_texts, CHUNK):
+                elements, _ = _elements([all_texts[i] for i in part], words, by_count)
+                total += np.bincount((elements % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        (at,) = total.nonzero()
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "n"])
+
+    rows = wanted.mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    table = np.zeros(COUNTERS, dtype=np.int64)
+    table[rows["i"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    shared = runtime.broadcast(spark, table, table.nbytes)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_texts = batch.column("t").to_pylist()
+            for part in runtime.slices(all_texts, CHUNK):
+                e, n = _elements([all_texts[i] for i in part], words, by_count)
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((e, shared.value[(e % _U(COUNTERS)).astype(np.int64)], owner))
+                place = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
+                keep = place <= (n - np.ceil(threshold * n - EPSILON))[owner]
+                at = pa.array(owner[keep] + part[0])
+                own = [batch.column(x).take(at) for x in ("words", "c", "stray")]
+                yield pa.RecordBatch.from_arrays([pa.array(e[order][keep].view(np.int64)), pa.array(place[keep].astype(np.int32)), pa.array(n[owner][keep].astype(np.int32)), *own], ["e", "place", "n", "words", "c", "stray"])
+
+    made = runtime.written(wanted.mapInArrow(prefixes, "e long, place int, n int, words long, c long, stray boolean"), "dedup-prefixes")
+    left = made.where("stray").select("e", *[F.col(x).alias(f"a_{x}") for x in ("place", "n", "words", "c")])
+    right = made.select("e", *[F.col(x).alias(f"b_{x}") for x in ("place", "n", "words", "c", "stray")])
+    room = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
+    needed = F.ceil(threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6)
+    open_pair = (F.col("a_c") != F.col("b_c")) & (~F.col("b_stray") | (F.col("a_words") < F.col("b_words"))) & (room >= needed)
+    return left.join(right, "e").where(open_pair).select(F.col("a_words").alias("a"), F.col("b_words").alias("b")).distinct()
