@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import runtime
@@ -135,9 +135,23 @@ class Matcher:
         return out
 
 
-def _blocks(items: list[tuple[int, str]], most: int) -> Iterator[list[tuple[int, str]]]:
-    for run in runtime.slices([t for _, t in items], most):
-        yield [items[i] for i in run]
+def _passes(benchmark: DataFrame, least: int, item_key: str, item_text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks: they come one partition at a time, and the driver holds one block."""
+    held, size = [], 0
+    stated = benchmark.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
+    for r in stated.distinct().orderBy("i", "t").toLocalIterator():
+        if len(item := normalise(r["t"])) >= least:
+            held.append((r["i"], item))
+            size += len(item)
+            if size >= block_chars:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _shared(spark: SparkSession, block: list[tuple[int, str]]):
+    return runtime.broadcast(spark, block, sum(4 * len(t) + 100 for _, t in block))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -146,24 +160,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: in
     runtime.bound_batches(spark)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` long, distance int"
     rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).where(F.col("__text").isNotNull())
-    out = spark.createDataFrame([], schema)
-    stated = benchmark.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
-
-    def passes() -> Iterator[list[tuple[int, str]]]:
-        # items come one partition at a time; the driver holds one block
-        held, size = [], 0
-        for r in stated.distinct().orderBy("i", "t").toLocalIterator():
-            if len(item := normalise(r["t"])) >= least:
-                held.append((r["i"], item))
-                size += len(item)
-                if size >= block_chars:
-                    yield held
-                    held, size = [], 0
-        if held:
-            yield held
-
-    for block in passes():
-        shared = runtime.broadcast(spark, block, sum(4 * len(t) + 100 for _, t in block))
+    out = None
+    for block in _passes(benchmark, least, item_key, item_text, block_chars):
+        shared = _shared(spark, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, rate)
@@ -176,5 +175,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: in
                         distances.append(d)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(distances, pa.int32())], [key, item_key, "distance"])
 
-        out = out.unionAll(rows.mapInArrow(run, schema))
-    return out
+        found = rows.mapInArrow(run, schema)
+        out = found if out is None else out.unionAll(found)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` that hold no item, in place: no row moves. Rows with a null text stay."""
+    spark = docs.sparkSession
+    runtime.bound_batches(spark)
+    at = docs.columns.index(text)
+    for block in _passes(benchmark, least, item_key, item_text, block_chars):
+        shared = _shared(spark, block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(normalise(value.as_py())) for value in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

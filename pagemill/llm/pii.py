@@ -30,6 +30,7 @@ the columns made here are prefixed until the end, so names do not clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
@@ -84,7 +85,7 @@ def prefix_sums(values: Column) -> Column:
     steps = F.when(F.size(values) > 1, F.sequence(F.lit(0), F.floor(F.log2(F.size(values))).cast("int"))).otherwise(F.array().cast("array<int>"))
 
     def double(acc: Column, k: Column) -> Column:
-        width = F.least(F.shiftleft(F.lit(1), 1) * 0 + F.pow(F.lit(2), k).cast("int"), F.size(acc))
+        width = F.least(F.pow(F.lit(2), k).cast("int"), F.size(acc))
         shifted = F.concat(F.array_repeat(F.lit(0).cast("long"), width), F.slice(acc, F.lit(1), F.size(acc) - width))
         return F.zip_with(acc, shifted, lambda a, b: a + b)
 
@@ -144,6 +145,14 @@ def passes(kind: str, value: Column) -> Column:
     return n.between(9, 15)
 
 
+def _passing(kind: str) -> Callable[[Column], Column]:
+    return lambda x: passes(kind, x["value"])
+
+
+def _of_kind(kind: str) -> Callable[[Column], Column]:
+    return lambda x: x["kind"] == kind
+
+
 def features(x: Column) -> Column:
     """The features of a candidate, as a struct of doubles."""
     value, before, after = x["value"], x["before"], x["after"]
@@ -191,7 +200,7 @@ def candidates(df: DataFrame, text: Column) -> DataFrame:
     df = df.withColumns(split).drop("__text")
     df = df.withColumns({name: F.when(F.size(f"{name}_hits") > 0, _spans(F.col(f"{name}_gaps"), F.col(f"{name}_hits"), kind)).otherwise(F.array().cast(_SPAN)) for kind, name, _ in wanted})
     df = df.drop(*split)
-    df = df.withColumns({f"__b_{kind}": F.filter(f"__b_{kind}", lambda x, k=kind: passes(k, x["value"])) for kind in KINDS})
+    df = df.withColumns({f"__b_{kind}": F.filter(f"__b_{kind}", _passing(kind)) for kind in KINDS})
     more = F.concat(*[F.col(name) for _, name, _ in wanted if name.startswith("__g")])
     base = F.concat(*[F.col(f"__b_{k}") for k in KINDS])
     df = df.withColumns({"__more": more, "__base": base, **{f"__n_{k}": F.size(f"__b_{k}").cast("long") for k in KINDS}})
@@ -268,7 +277,7 @@ def find(docs: DataFrame, text: str = "text", training_rows: int = TRAINING_ROWS
     df = df.withColumn("__more", F.expr(f"filter(__more, c -> c.probability >= {limits})"))
     plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
     df = df.withColumns({"__base": F.transform("__base", plain), "__more": F.transform("__more", plain)})
-    by_kind = lambda spans: F.flatten(F.array(*[F.array_sort(F.filter(spans, lambda x, k=k: x["kind"] == k)) for k in KINDS]))
+    by_kind = lambda spans: F.flatten(F.array(*[F.array_sort(F.filter(spans, _of_kind(k))) for k in KINDS]))
     df = df.withColumn("__all", F.array_distinct(F.concat("__base", "__more")))
     named = {**{f"n_{k}": F.col(f"__n_{k}") for k in KINDS}, "base_spans": by_kind(F.col("__base")), "pii_spans": by_kind(F.col("__all"))}
     return df.withColumns(named).drop("__base", "__more", "__all", *[f"__n_{k}" for k in KINDS])

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, language_id, minhash, runtime, token_counts, topk, warc
+from pagemill.llm import bpe, chat, decontaminate, language_id, licenses, minhash, pii, runtime, token_counts, topk, warc
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -32,11 +33,38 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan(docs, licenses.known(spark)).select("doc_id", "license_digest", "license_id")
+
+
+def op4_sql() -> str:
+    known = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in (*licenses.TEXTS, *licenses.NOTICES))
+    return f"""
+    WITH known AS (
+      SELECT sha256({licenses.canonical_sql("text")}) AS d, string_agg(DISTINCT license_id, ' OR ' ORDER BY license_id) AS license_id
+      FROM (VALUES {known}) AS k(license_id, text) GROUP BY 1
+    ), own AS (SELECT doc_id, {licenses.canonical_sql("text")} AS c FROM documents)
+    SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS license_digest, license_id
+    FROM own LEFT JOIN known ON c <> '' AND sha256(c) = d
+    """
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = runtime.read_small_file(public_tokenizers.path(WORD_VOCABULARY))
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=[F.col("doc_id")], with_ids=False, with_text=False)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, spans = pii.listed(F.col("base_spans")), pii.listed(F.col("pii_spans"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = runtime.fresh_path(spark, "warc")
     warc.write(table(spark, sf_dir, "pages"), path)
@@ -61,9 +89,13 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_topk": op2_topk,
     "op3_token_counts": op3_token_counts,
+    "op4_licenses": op4_licenses,
     "op5_bpe": op5_bpe,
+    "op6_pii": op6_pii,
+    "op7_decontaminate": op7_decontaminate,
     "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_licenses": op4_sql()}
