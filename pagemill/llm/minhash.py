@@ -60,7 +60,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 EPSILON = 1e-9
 #: Counters of the table that orders elements.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 #: Most bytes of text hashed at once.
 CHUNK = 4 << 20
 
