@@ -46,7 +46,6 @@ SPELLINGS = (
     ("labelling", "labeling"),
     ("licence", "license"),
     ("licenced", "licensed"),
-    ("merchantability", "merchantability"),
     ("noncommercial", "non commercial"),
     ("organisation", "organization"),
     ("percent", "per cent"),
@@ -107,25 +106,23 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     out = F.lower(text)
     out = F.regexp_replace(out, r"(?m)^[\s*#/;%-]*+(?:copyright\s*(?:\(c\)|©|[0-9]{4})|\(c\)\s*[0-9]{4}|©|all rights reserved)[^\n]*+", " ")
-    out = F.regexp_replace(out, r"[^\p{L}\p{N}]++", " ")
+    out = F.regexp_replace(out, r"[^\p{L}\p{N}]++", "  ")
+    # with two spaces between words, neighbours can both match with one on either side
+    out = F.concat(F.lit("  "), out, F.lit("  "))
     for spelling, wanted in SPELLINGS:
-        if spelling != wanted:
-            out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}]){spelling}(?![\p{{L}}\p{{N}}])", wanted)
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {'  '.join(spelling.split())} "), F.lit(f" {'  '.join(wanted.split())} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def canonical_sql(text: str) -> str:
     """The same form in DuckDB."""
     out = f"lower({text})"
     out = rf"regexp_replace({out}, '(?m)^[\s*#/;%-]*(?:copyright\s*(?:\(c\)|©|[0-9]{{4}})|\(c\)\s*[0-9]{{4}}|©|all rights reserved)[^\n]*', ' ', 'g')"
-    out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')"
-    out = f"concat(' ', {out}, ' ')"
+    out = rf"regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', '  ', 'g')"
+    out = f"concat('  ', {out}, '  ')"
     for spelling, wanted in SPELLINGS:
-        if spelling != wanted:
-            # with two spaces between words, neighbours can both match with one on either side
-            out = f"replace(replace({out}, ' ', '  '), ' {'  '.join(spelling.split())} ', ' {'  '.join(wanted.split())} ')"
-            out = f"replace({out}, '  ', ' ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {'  '.join(spelling.split())} ', ' {'  '.join(wanted.split())} ')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def digest(text: Column) -> Column:
