@@ -8,8 +8,8 @@ Writing goes in these steps, each safe to repeat when an executor is lost:
 2. Boundaries of the shards come from a histogram of payload bytes over ranges
    of page ids (at most ``RANGES`` of them, split again where one is too full),
    so they depend on the rows alone and not on a sample or on the partitioning.
-3. Records are sorted within shards by page id, headers and digests are made
-   anew from the payloads, and each shard rolls to a new file once its
+3. Payloads move once, to their shards. Records are sorted there by page id,
+   headers and digests are made anew from the payloads, and each shard rolls to a new file once its
    compressed size passes the limit. Files get temporary names that hold the
    task attempt, and a row of the manifest each.
 4. The manifest rows, from the attempts that succeeded, are written by Spark's
@@ -39,14 +39,15 @@ from urllib.parse import quote, urlparse
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import runtime
 
 RANGES = 4096
 FILE_BYTES = 256 << 20
-SHARD_BYTES = 512 << 20
+SHARD_BYTES = 32 << 20
+MOST_SHARDS = 200_000
 DATE = "2000-01-01T00:00:00Z"
 
 MANIFEST = "file string, temporary string, shard int, part int, n_records long, n_bytes long, sha256 string"
@@ -127,11 +128,11 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: i
     firsts = long_enough.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "first")
     revisits = long_enough.join(firsts, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
     bounds = [] if low is None else _shard_bounds(digests, shard_bytes, low, high)
-    # an id can repeat with another payload, so the digest is part of the key
-    joined = rows.withColumn("digest", F.unhex(F.sha1("payload"))).join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
-    shard = F.expr(f"cast(array_size(filter(array({', '.join(f'{b}L' for b in bounds)}), b -> b <= page_id)) as int)") if 0 < len(bounds) <= 64 else _shard_of(spark, bounds)
-    dealt = joined.withColumn("shard", shard).repartition("shard") if bounds else joined.withColumn("shard", F.lit(0)).repartition(1)
-    ordered = dealt.sortWithinPartitions("shard", "page_id", F.col("refers_to").asc_nulls_first(), "url", F.col("payload")).select("shard", "page_id", "url", "payload", "refers_to")
+    # payloads move once: a page that revisits another is told by a row of ids that sorts before its own rows
+    told = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "refers_to", "digest", F.lit(0).alias("own"))
+    both = told.unionAll(rows.select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("binary").alias("digest"), F.lit(1).alias("own")))
+    dealt = both.withColumn("shard", _shard_of(bounds)).repartition("shard") if bounds else both.withColumn("shard", F.lit(0)).repartition(1)
+    ordered = dealt.sortWithinPartitions("shard", "page_id", "own", "digest", "url", "payload").select("shard", "page_id", "url", "payload", "refers_to", "digest", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -143,6 +144,7 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: i
         digest = hashlib.sha256()
         seen: tuple | None = None
         first_of: dict[bytes, int] = {}
+        told_of: dict[bytes, int] = {}
 
         def close() -> None:
             nonlocal out
@@ -152,7 +154,13 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: i
                 out = None
 
         for batch in batches:
-            for sh, page_id, address, payload, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for sh, page_id, address, payload, refers, told_digest, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if seen != (sh, page_id):
+                    seen, copy, first_of, told_of = (sh, page_id), -1, {}, {}
+                if not own:
+                    told_of[told_digest] = refers
+                    continue
+                copy += 1
                 if sh != shard_now or size >= file_bytes:
                     close()
                     part = part + 1 if sh == shard_now else 0
@@ -161,14 +169,9 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: i
                     name = f"_temporary.{attempt}.{sh}.{part}.warc.gz"
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                     n, size, digest = 0, 0, hashlib.sha256()
-                if seen is None or seen != (sh, page_id):
-                    seen, copy, first_of = (sh, page_id), 0, {}
-                else:
-                    copy += 1
-                if refers is None and len(payload) >= min_revisit_bytes:
+                if len(payload) >= min_revisit_bytes:
                     key_ = hashlib.sha1(payload).digest()
-                    if key_ in first_of:
-                        refers = page_id
+                    refers = told_of.get(key_, first_of.get(key_))
                     first_of[key_] = page_id
                 record = make_record(page_id, address, payload, refers, copy)
                 out.write(record)
@@ -185,23 +188,18 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, file_bytes: i
     return spark.read.schema(MANIFEST).parquet(manifest)
 
 
-def _shard_of(spark: SparkSession, bounds: list[int]):
-    """The shard of a page id, by a lookup table of bounded size in the plan."""
-    if not bounds:
-        return F.lit(0)
-    if len(bounds) > 200_000:
+def _shard_of(bounds: list[int]) -> Column:
+    """The shard of a page id, by a balanced tree of comparisons in the plan."""
+    if len(bounds) > MOST_SHARDS:
         raise ValueError(f"{len(bounds) + 1} shards are too many; raise shard_bytes")
-    found = F.lit(0)
-    # a balanced tree of comparisons: as deep as the logarithm of the shards
 
-    def tree(lo: int, hi: int):
+    def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(F.col("page_id") < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    found = tree(0, len(bounds))
-    return found.cast("int")
+    return tree(0, len(bounds)).cast("int")
 
 
 def _commit(spark: SparkSession, path: str, manifest: str) -> None:
