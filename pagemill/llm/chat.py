@@ -37,6 +37,8 @@ from pagemill.llm import byte_level, runtime
 
 OPEN, CLOSE = "### ", "</turn>\n"
 LOSS_ROLE = "assistant"
+#: Characters encoded at once, unless one conversation has more.
+CHUNK = 1 << 18
 _ESCAPED = re.compile(r"[\\#<]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 #: A turn in formatted text: in an escaped part, a backslash hides the character after it.
@@ -139,7 +141,7 @@ def format_chats(turns: DataFrame, tokenizer_json: str, key: str = "conv_id", tu
             formatted, spans = render((r, t) for _, r, t in group)
             held.append((k, formatted, spans))
             size += len(formatted)
-            if size >= 4 << 20:
+            if size >= CHUNK:
                 yield _encoded(tok, held)
                 held, size = [], 0
         if held:
