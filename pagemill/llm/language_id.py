@@ -30,7 +30,7 @@ from pagemill.llm import runtime
 
 UNDETERMINED = "und"
 #: Most characters scored at once.
-SLICE = 1 << 20
+SLICE = 1 << 18
 _SPACE = 32
 
 

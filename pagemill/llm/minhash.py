@@ -62,7 +62,7 @@ EPSILON = 1e-9
 #: Counters of the table that orders elements.
 COUNTERS = 1 << 18
 #: Most bytes of text hashed at once.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -264,7 +264,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, by_count: bool) ->
         def sets(ids: list[int], texts_: list[str]) -> None:
             nonlocal size
             new = {i: t for i, t in zip(ids, texts_, strict=True) if i not in kept}
-            if size + sum(map(len, new.values())) > 4 * CHUNK:
+            if size + sum(map(len, new.values())) > 8 * CHUNK:
                 kept.clear()
                 new = dict(zip(ids, texts_, strict=True))
                 size = 0
