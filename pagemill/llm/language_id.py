@@ -68,11 +68,13 @@ def _prepare(text: str) -> tuple[np.ndarray, bool]:
     return out, bool(letter.any())
 
 
-def _parts(codes: np.ndarray, orders: tuple[int, ...]) -> Iterator[np.ndarray]:
-    """Slices of a text that overlap so that each n-gram starts in the body of one slice."""
-    step = SLICE - max(orders)
-    for i in range(0, max(1, len(codes) - max(orders) + 1), step):
-        yield codes[i : i + step + max(orders) - 1]
+def _parts(codes: np.ndarray, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, int]]:
+    """Slices of a text, and in how many of the first places of each its n-grams start; the places after overlap the next slice."""
+    tail = max(orders) - 1
+    step = max(1, SLICE - tail)
+    for i in range(0, max(1, len(codes) - tail), step):
+        part = codes[i : i + step + tail]
+        yield part, len(part) if i + step >= len(codes) - tail else step
 
 
 def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
@@ -80,25 +82,26 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.nd
     n_buckets, n_langs = model.log_prob.shape
     total = np.zeros((len(texts), n_langs))
     known = np.zeros(len(texts), dtype=bool)
-    pending: list[tuple[int, np.ndarray]] = []
+    pending: list[tuple[int, np.ndarray, int]] = []
     size = 0
 
     def flush() -> None:
         nonlocal size
         if pending:
-            joined = np.concatenate([c for _, c in pending])
-            lengths = np.array([len(c) for _, c in pending])
+            joined = np.concatenate([c for _, c, _ in pending])
+            lengths = np.array([len(c) for _, c, _ in pending])
+            bodies = np.array([n for _, _, n in pending])
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            rows = np.array([i for i, _ in pending])
+            rows = np.array([i for i, _, _ in pending])
             for order in model.orders:
                 if len(joined) < order:
                     continue
                 gathered = model.log_prob[_buckets(joined, order, n_buckets)]
-                # n-grams that run over the end of their slice count for nothing
-                for k in range(1, order):
-                    over = starts + lengths - k
-                    over = over[(over >= 0) & (over < len(gathered))]
-                    gathered[over] = 0
+                # n-grams that run over the end of their slice, or start in the next one, count for nothing
+                for k in range(1, max(model.orders)):
+                    at = lengths - k
+                    over = (starts + at)[(at >= 0) & (at >= np.minimum(bodies, lengths - order + 1))]
+                    gathered[over[over < len(gathered)]] = 0
                 inside = starts < len(gathered)
                 np.add.at(total, rows[inside], np.add.reduceat(gathered, starts[inside], axis=0, dtype=np.float64))
         pending.clear()
@@ -110,10 +113,10 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.nd
         codes, known[i] = _prepare(text)
         if not known[i]:
             continue
-        for part in _parts(codes, model.orders):
+        for part, body in _parts(codes, model.orders):
             if size + len(part) > SLICE:
                 flush()
-            pending.append((i, part))
+            pending.append((i, part, body))
             size += len(part)
     flush()
     if not n_langs:
@@ -150,10 +153,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 if not has_letter:
                     continue
                 into = seen.setdefault(name, np.zeros(n_buckets, dtype=np.int64))
-                for part in _parts(codes, orders):
+                for part, body in _parts(codes, orders):
                     for order in orders:
                         if len(part) >= order:
-                            into += np.bincount(_buckets(part, order, n_buckets), minlength=n_buckets)
+                            into += np.bincount(_buckets(part[: body + order - 1], order, n_buckets), minlength=n_buckets)
         for name, into in seen.items():
             (at,) = into.nonzero()
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(into[at])], ["l", "bucket", "n"])

@@ -32,6 +32,15 @@ def test_batches_equal_one_by_one_and_slices(monkeypatch):
                 assert (p, s) == ("und", 0)
 
 
+def test_slices_hold_each_gram_once(monkeypatch):
+    monkeypatch.setattr(language_id, "SLICE", 7)
+    codes = np.arange(100, 161, dtype=np.uint64)
+    for n in range(3, 62):
+        for order in (1, 2, 3):
+            seen = [tuple(p[i : i + order]) for p, body in language_id._parts(codes[:n], (1, 2, 3)) for i in range(min(body, len(p) - order + 1))]
+            assert seen == [tuple(codes[i : i + order]) for i in range(n - order + 1)]
+
+
 def test_held_out_accuracy(spark):
     docs = table(spark, SF, "documents")
     model = language_id.fit(docs.where(~language_id.held_out()))
