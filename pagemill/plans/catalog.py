@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.plans import profiling
+from pagemill.plans import profiling, reference
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for module in (profiling,):
+for module in (profiling, reference):
     QUERIES.update(module.QUERIES)
     ORACLES.update(module.ORACLES)
