@@ -30,6 +30,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -54,16 +55,29 @@ class Encoder:
         self.tok = byte_level.tokenizer(tokenizer_json)
         self.special, self.special_ids = byte_level.special_splitter(tokenizer_json)
         self.leaf, self.word_leaf, self.window = leaf, word_leaf, window
-        spec = json.loads(tokenizer_json)
-        self.suffix = spec["model"]["end_of_word_suffix"] or ""
-        bare = {**spec, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None}
-        self.last = Tokenizer.from_str(json.dumps(bare))
-        self.inner = Tokenizer.from_str(json.dumps({**bare, "model": {**spec["model"], "end_of_word_suffix": None}}))
+        self.json = tokenizer_json
         self.by_text = byte_level.Memo(lambda s: self.word(byte_level.to_byte_level(s)))
         self.by_bytes = byte_level.Memo(self.word)
         self.strings = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
 
-    # words
+    # words; the vocabulary without its text steps is loaded only where a long word needs it
+
+    @cached_property
+    def suffix(self) -> str:
+        return json.loads(self.json)["model"]["end_of_word_suffix"] or ""
+
+    def _bare(self, suffix: str | None) -> Tokenizer:
+        spec = json.loads(self.json)
+        spec |= {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "model": {**spec["model"], "end_of_word_suffix": suffix}}
+        return Tokenizer.from_str(json.dumps(spec))
+
+    @cached_property
+    def last(self) -> Tokenizer:
+        return self._bare(self.suffix or None)
+
+    @cached_property
+    def inner(self) -> Tokenizer:
+        return self._bare(None)
 
     def word(self, word: str) -> tuple[int, ...]:
         """The tokens of one pre-token, in its byte-level form."""

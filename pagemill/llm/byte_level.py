@@ -48,6 +48,7 @@ def from_byte_level(token: str) -> str | None:
         return None
 
 
+@cache
 def special_splitter(tokenizer_json: str) -> tuple[re.Pattern | None, dict[str, int]]:
     """A pattern that finds added tokens in raw text as the library's default does, and their ids.
 
@@ -66,7 +67,7 @@ def special_splitter(tokenizer_json: str) -> tuple[re.Pattern | None, dict[str,
 class Memo(dict):
     """A memo of a function of short strings that forgets what it learned once it holds ``most`` entries."""
 
-    def __init__(self, function, most: int = 400_000, known: dict | None = None):
+    def __init__(self, function, most: int = 150_000, known: dict | None = None):
         super().__init__(known or {})
         self.function, self.most, self.known = function, most, known or {}
 

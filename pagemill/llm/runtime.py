@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Most bytes that an operator broadcasts.
 BROADCAST_LIMIT = 256 << 20
 #: Most bytes of text in an Arrow batch handed to Python.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
