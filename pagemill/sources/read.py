@@ -69,10 +69,10 @@ def read_table(spark: SparkSession, path: str, table: str, memos: bool = True, *
     memo; text memos are decoded, blobs stay bytes, external ones are null.
     """
     register(spark)
-    reader = spark.read.format("tps").option("table", table)
+    reader = spark.read.format("tps").option("table", table).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
     for k, v in options.items():
         reader = reader.option(k, v)
-    found = next((t for (_, n), t in definitions(path, options.get("password"), options.get("encoding", DEFAULT_ENCODING), str(options.get("recover", "false")).lower() == "true").items() if n.lower() == table.lower()), None)
+    found = next((t for (_, n), t in definitions(path, password=options.get("password"), encoding=options.get("encoding", DEFAULT_ENCODING), recover=str(options.get("recover", "false")).lower() == "true").items() if n.lower() == table.lower()), None)
     if found is None or not found.memos or not memos:
         return reader.load(path)
     rows = reader.option("recNo", "true").option("sourceFile", "true").load(path)

@@ -122,18 +122,6 @@ class TpsReader(DataSourceReader):
         self.least: int | None = None
         self.most: int | None = None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else None
-            if name == "_source_file" and isinstance(f, (EqualTo, In)):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.sources = wanted if self.sources is None else self.sources & wanted
-            elif name == "_rec_no" and isinstance(f, (EqualTo, GreaterThanOrEqual)):
-                self.least = f.value if self.least is None else max(self.least, f.value)
-            if name == "_rec_no" and isinstance(f, (EqualTo, LessThanOrEqual)):
-                self.most = f.value if self.most is None else min(self.most, f.value)
-            yield f  # Spark applies every filter again
-
     def _open(self, path: str, member: str | None) -> files.Database:
         o = self.options
         return files.Database(path, o.get("password"), o.get("encoding", DEFAULT_ENCODING), member, o.get("recover", "false").lower() == "true")
@@ -204,6 +192,22 @@ class TpsReader(DataSourceReader):
         return pa.RecordBatch.from_arrays(arrays_, self.schema.names)
 
 
+class PushingReader(TpsReader):
+    """Takes filters over; Spark refuses a reader that does unless spark.sql.python.filterPushdown.enabled is true."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            name = f.attribute[0] if len(f.attribute) == 1 else None
+            if name == "_source_file" and isinstance(f, (EqualTo, In)):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.sources = wanted if self.sources is None else self.sources & wanted
+            elif name == "_rec_no" and isinstance(f, (EqualTo, GreaterThanOrEqual)):
+                self.least = f.value if self.least is None else max(self.least, f.value)
+            if name == "_rec_no" and isinstance(f, (EqualTo, LessThanOrEqual)):
+                self.most = f.value if self.most is None else min(self.most, f.value)
+            yield f  # Spark applies every filter again
+
+
 class TpsDataSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -226,4 +230,5 @@ class TpsDataSource(DataSource):
         raise ValueError(f"{o['path']} has no table {o['table']!r}")
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return TpsReader(self, schema)
+        pushing = {k.lower(): v for k, v in self.options.items()}.get("pushdown", "false").lower() == "true"
+        return (PushingReader if pushing else TpsReader)(self, schema)
