@@ -183,8 +183,8 @@ def features(x: Column) -> Column:
 
 
 def _proposed(text: Column, pattern: str, kind: str) -> tuple[Column, Column]:
-    """Gaps and matches of a pattern, or empty arrays where the text cannot hold any."""
-    possible = {"email": F.contains(text, F.lit("@")) | F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")), "phone": text.rlike("[0-9]{2}"), "card": text.rlike("[0-9]{2}"), "ip": text.rlike("[0-9A-Fa-f][.:][0-9A-Fa-f]")}[kind]
+    """Gaps and matches of a pattern, or empty arrays where the text cannot hold any: each condition follows from every pattern of its kind."""
+    possible = {"email": F.contains(text, F.lit("@")) | F.contains(text, F.lit("(at)")) | F.contains(text, F.lit("[at]")), "phone": text.rlike(r"\+[0-9]|[0-9]{2}"), "card": text.rlike("[0-9][ -]?[0-9]"), "ip": text.rlike("[0-9A-Fa-f][.:][0-9A-Fa-f]")}[kind]
     none = F.array().cast("array<string>")
     return F.when(possible, F.split(text, pattern, -1)).otherwise(none), F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
 

@@ -57,6 +57,15 @@ def test_base_equals_python(spark):
     check(spark, texts)
 
 
+def test_base_without_two_digits_in_a_row(spark):
+    card, phone = "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "tel +4 9 1 2 3 4 5 6 7 8"
+    texts = [card, card.replace("1 1", "1-1"), phone, "+4-9.1(2)3 4 5 6 7 8", "+1(2(3(4(5(6(7(8(9", "4 1 1", "a 1, 2 and 3", "+ 4 9"]
+    assert [len(base_spans(t)) for t in texts] == [1, 1, 1, 1, 1, 0, 0, 0]
+    check(spark, texts)
+    docs = spark.createDataFrame([(0, card), (1, phone)], "doc_id long, text string")
+    assert [r.text for r in pii.redact(pii.find(docs)).orderBy("doc_id").collect()] == ["card <card>", "tel <phone>"]
+
+
 def test_documents(spark):
     check(spark, [r.text for r in table(spark, SF, "documents").collect()])
 
