@@ -13,12 +13,17 @@ than letters and digits as one space. The automaton is made from a block of
 items of bounded size; if the benchmark is larger, each block takes a pass over
 the documents, so what is broadcast never grows with the benchmark or the data.
 
+Items shorter than ``least`` characters after normalising are found without
+errors only, and only as whole words: at an end of the text, next to a space, or
+next to or at a character of a script that is written without spaces.
+
 Defined results: null texts and texts without a letter or digit match nothing.
-Items that are null or shorter than ``least`` characters after normalising are
-left out, as they would match by chance. Items of the same normalised text
-all match where one does. Texts are searched whole. A row of the documents gives
-a row for each item that it holds, with its best distance; repeated rows give
-their own. Rows with a null key are reported with it.
+Items that are null or empty after normalising are left out. Items of the same
+normalised text all match where one does. Texts are searched whole. A row of the
+documents gives a row for each item that it holds, with its best distance;
+repeated rows give their own. Rows with a null key are reported with it. Items
+with a null key count in ``clean``; ``matches`` reports them, with a null key,
+if ``unnamed`` is set.
 """
 
 from __future__ import annotations
@@ -39,12 +44,19 @@ LEAST = 40
 BLOCK_CHARS = 4 << 20
 
 _OTHER = re.compile(r"[\W_]+")
+#: Scripts without spaces between words: Thai to Lao, Myanmar, Khmer, kana, and ideographs.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]")
 
 
 def normalise(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+def whole_words(text: str, start: int, end: int) -> bool:
+    """Whether a stretch of a normalised text begins and ends between words."""
+    return all(at in (0, len(text)) or " " in text[at - 1 : at + 1] or bool(_UNSPACED.search(text, at - 1, at + 1)) for at in (start, end))
+
+
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     """The item in errors + 1 pieces of about equal length, with their offsets."""
     n = errors + 1
@@ -88,9 +100,10 @@ class Pattern:
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, least: int = LEAST):
         self.items = items
-        self.errors = [int(len(text) * rate) for _, text in items]
+        self.least = least
+        self.errors = [int(len(text) * rate) if len(text) >= least else 0 for _, text in items]
         self.patterns: dict[int, Pattern] = {}
         self.automaton = ahocorasick.Automaton()
         where: dict[str, list[tuple[int, int]]] = {}
@@ -107,12 +120,16 @@ class Matcher:
         windows: dict[int, list[tuple[int, int]]] = {}
         if not self.items or not text:
             return {}
+        out = {}
         for last, (length, places) in self.automaton.iter(text):
             for i, offset in places:
                 start = last + 1 - length - offset
+                if len(self.items[i][1]) < self.least:
+                    if i not in out and whole_words(text, start, last + 1):
+                        out[i] = 0
+                    continue
                 k = self.errors[i]
                 windows.setdefault(i, []).append((max(0, start - k), min(len(text), start + len(self.items[i][1]) + k)))
-        out = {}
         for i, found in windows.items():
             item, k = self.items[i][1], self.errors[i]
             best = k + 1
@@ -135,14 +152,14 @@ class Matcher:
         return out
 
 
-def _passes(benchmark: DataFrame, least: int, item_key: str, item_text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _passes(benchmark: DataFrame, least: int, item_key: str, item_text: str, block_chars: int, unnamed: bool) -> Iterator[list[tuple[int | None, str]]]:
     """The items in blocks: they come one partition at a time, and the driver holds one block."""
     held, size = [], 0
-    stated = benchmark.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
+    stated = benchmark.where(F.col(item_text).isNotNull() & (F.lit(unnamed) | F.col(item_key).isNotNull())).select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
     for r in stated.distinct().orderBy("i", "t").toLocalIterator():
-        if len(item := normalise(r["t"])) >= least:
+        if item := normalise(r["t"]):
             held.append((r["i"], item))
-            size += len(item)
+            size += max(len(item), least)
             if size >= block_chars:
                 yield held
                 held, size = [], 0
@@ -154,18 +171,18 @@ def _shared(spark: SparkSession, block: list[tuple[int, str]]):
     return runtime.broadcast(spark, block, sum(4 * len(t) + 100 for _, t in block))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``key``, ``item_key`` and distance for every item that a document holds with at most floor(length * rate) edits."""
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, unnamed: bool = False) -> DataFrame:
+    """``key``, ``item_key`` and distance for every item that a document holds with at most floor(length * rate) edits; short items as whole words without edits."""
     spark = docs.sparkSession
     runtime.bound_batches(spark)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item_key}` long, distance int"
     rows = docs.select(F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text")).where(F.col("__text").isNotNull())
     out = None
-    for block in _passes(benchmark, least, item_key, item_text, block_chars):
+    for block in _passes(benchmark, least, item_key, item_text, block_chars, unnamed):
         shared = _shared(spark, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+            matcher = Matcher(shared.value, rate, least)
             for batch in batches:
                 at, items, distances = [], [], []
                 for n, value in enumerate(batch.column(1)):
@@ -185,11 +202,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int
     spark = docs.sparkSession
     runtime.bound_batches(spark)
     at = docs.columns.index(text)
-    for block in _passes(benchmark, least, item_key, item_text, block_chars):
+    for block in _passes(benchmark, least, item_key, item_text, block_chars, unnamed=True):
         shared = _shared(spark, block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, rate)
+            matcher = Matcher(shared.value, rate, least)
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(normalise(value.as_py())) for value in batch.column(at)], pa.bool_()))
 

@@ -55,6 +55,18 @@ def test_frames(spark):
     assert d.matches(docs.limit(0), bench).collect() == [] == d.matches(docs, bench.limit(0)).collect()
 
 
+def test_short_items_and_items_without_a_key(spark):
+    item = "The quick brown fox jumps over the lazy dog and runs away into the woods."
+    texts = ["Q: What is 2+2? A: four", "what is 2 2", "somewhat is 2 22", "what is 3 2", "彼は東京の首都は何ですかと聞いた", item, "!!", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is 2+2?"), (2, "東京の首都は何ですか"), (None, item), (3, "?!"), (4, None)], "item_id long, text string")
+    want = [(0, 1, 0), (1, 1, 0), (4, 2, 0)]
+    for block in (d.BLOCK_CHARS, 1):
+        assert sorted(map(tuple, d.matches(docs, bench, block_chars=block).collect())) == want
+        assert set(map(tuple, d.matches(docs, bench, block_chars=block, unnamed=True).collect())) == {*want, (5, None, 0)}
+        assert sorted(r.doc_id for r in d.clean(docs, bench, block_chars=block).collect()) == [2, 3, 6, 7]
+
+
 def test_documents(spark):
     docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     got = {(r.doc_id, r.item_id) for r in d.matches(docs, bench).collect()}
