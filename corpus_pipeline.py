@@ -26,9 +26,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: the one with the smallest key. Rows without a key go."""
-    classed = minhash.near_duplicates(docs)
-    return classed.where(F.col("doc_id") == F.col("class_id")).drop("class_id").dropDuplicates(["doc_id"])
+    """One row of each class of near duplicates: the one with the smallest key. A repeated key keeps each of its texts that stands for a class. Rows without a key go."""
+    return minhash.one_of_each_class(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,9 +35,12 @@ or already in one class; there is no cap on partners.
 
 Defined results: a null text is a class of its own. Texts of fewer than five
 words have one shingle, of all their words. Texts without a word are in a class
-with identical texts only. The class id is the smallest key in the class;
-repeated rows of a key give a row each, with one class even if their texts
-differ. Rows with a null key are left out. Words are runs of ASCII letters,
+with identical texts only. The class id is the smallest key in the class; a
+repeated key gives a row each, with the class of the row's own text. So classes
+whose smallest key is the same have one id; ``one_of_each_class`` tells them
+apart by their texts. Rows with a null key are left out, or, with ``unnamed``,
+take part: they have the id of their class, null if no row of it has a key.
+Rows are told apart by key and a 64-bit hash of the text. Words are runs of ASCII letters,
 digits and non-ASCII characters, lower-cased. Texts are read whole. Extra
 columns pass through ``near_duplicates`` untouched.
 """
@@ -196,8 +199,8 @@ def _size(weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(counts)), counts), weights, minlength=len(counts)).astype(np.int64)
 
 
-def _sign(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int, by_count: bool) -> DataFrame:
-    """id, word digest, size and band keys of every row with a key and a text."""
+def _sign(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int, by_count: bool, unnamed: bool) -> DataFrame:
+    """id, hash of the text, word digest, size and band keys of every row with a key and a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,18 +218,20 @@ def _sign(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: in
                 ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
                 size = pa.array(_size(weights, counts).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(part[0], len(part)), pa.array(digest.view(np.int64)), size, lists], ["id", "words", "size", "bands"])
+                own = [batch.column(c).slice(part[0], len(part)) for c in ("id", "h")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(digest.view(np.int64)), size, lists], ["id", "h", "words", "size", "bands"])
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("words", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return _texts(docs, key, text).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("words", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    return _texts(docs, key, text, unnamed).mapInArrow(run, schema)
 
 
-def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
+def _texts(docs: DataFrame, key: str, text: str, unnamed: bool) -> DataFrame:
+    named = F.lit(unnamed) | F.col(f"`{key}`").isNotNull()
+    return docs.where(named & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("t"))
 
 
-def _texts_of(docs: DataFrame, key: str, text: str, needed: DataFrame, words: int) -> DataFrame:
-    """(words, t): one text for each needed digest. ``needed`` holds digests and an id that has each."""
+def _texts_of(docs: DataFrame, key: str, text: str, needed: DataFrame, words: int, unnamed: bool) -> DataFrame:
+    """(words, t): one text for each needed digest. ``needed`` holds digests with an id, or where none has one, a hash of a text that has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,9 +240,16 @@ def _texts_of(docs: DataFrame, key: str, text: str, needed: DataFrame, words: in
                 _, _, digest = shingles([texts[i] for i in part], words)
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(part[0], len(part)), pa.array(digest.view(np.int64)), batch.column("t").slice(part[0], len(part))], ["id", "words", "t"])
 
-    rows = _texts(docs, key, text).join(needed.select("id").distinct(), "id", "left_semi")
+    all_rows = _texts(docs, key, text, unnamed)
+    rows = all_rows.select("id", "t").join(needed.select("id").distinct(), "id", "left_semi")
     # an id that repeats with other texts brings those too; the digest tells which are meant
-    return rows.mapInArrow(run, "id long, words long, t string").join(needed, ["id", "words"], "left_semi").dropDuplicates(["words"]).select("words", "t")
+    found = rows.mapInArrow(run, "id long, words long, t string").join(needed, ["id", "words"], "left_semi").select("words", "t")
+    if unnamed:
+        bare = needed.where("id is null").select("h").distinct()
+        rows = all_rows.where("id is null").join(bare, "h", "left_semi").select("id", "t")
+        more = rows.mapInArrow(run, "id long, words long, t string").select("words", "t")
+        found = found.unionAll(more.join(needed.where("id is null"), "words", "left_semi"))
+    return found.dropDuplicates(["words"])
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -317,20 +329,20 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """``docs`` with class_id: the smallest key among the documents of a row's near-duplicate class."""
+def _classified(docs: DataFrame, key: str, text: str, words: int, threshold: float, bands: int, rows: int, weights: str, unnamed: bool) -> tuple[DataFrame, DataFrame]:
+    """(id, h, class) of every row with a text, h being the hash of the text, and (class, class_id)."""
     spark = docs.sparkSession
     runtime.bound_batches(spark)
     by_count = {"set": False, "count": True}[weights]
-    signed = runtime.written(_sign(docs, key, text, words, bands, rows, by_count), "dedup-signed")
-    firsts = signed.groupBy("words").agg(F.min("id").alias("id"))
+    signed = runtime.written(_sign(docs, key, text, words, bands, rows, by_count, unnamed), "dedup-signed")
+    firsts = signed.groupBy("words").agg(F.min("id").alias("id"), F.min("h").alias("h"))
     banded = signed.select("words", "size", F.explode("bands").alias("band"))
     # copies share all keys, so a key concerns several texts exactly if its smallest and largest digests differ
     hubs = banded.groupBy("band").agg(F.min("words").alias("hub"), F.max("words").alias("top")).where("hub < top").select("band", "hub")
     met = runtime.written(banded.join(hubs, "band").where("words <> hub").distinct(), "dedup-met")
     pairs = runtime.written(met.select(F.col("words").alias("a"), F.col("hub").alias("b")).distinct(), "dedup-pairs")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct().join(firsts, "words")
-    texts = runtime.written(_texts_of(docs, key, text, needed, words), "dedup-texts")
+    texts = runtime.written(_texts_of(docs, key, text, needed, words, unnamed), "dedup-texts")
     seen = runtime.written(_compared(pairs, texts, words, by_count), "dedup-compared")
     links = seen.where(F.col("j") >= threshold - EPSILON).select("a", "b")
     classes = runtime.written(components(links), "dedup-classes")
@@ -338,12 +350,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     found = runtime.written(_compared(_missed(members, texts, threshold, words, by_count), texts, words, by_count).where(F.col("j") >= threshold - EPSILON), "dedup-more")
     if found.limit(1).count():
         classes = runtime.written(components(links.unionAll(found.select("a", "b"))), "dedup-classes")
-    of = signed.select("id", "words").join(classes.withColumnRenamed("id", "words"), "words", "left").select("id", F.coalesce("class", "words").alias("class"))
+    of = signed.select("id", "h", "words").join(classes.withColumnRenamed("id", "words"), "words", "left").select("id", "h", F.coalesce("class", "words").alias("class"))
     of = runtime.written(of, "dedup-members")
-    least = runtime.written(of.groupBy("class").agg(F.min("id").alias("class_id")), "dedup-least")
-    named = of.join(least, "class").groupBy("id").agg(F.min("class_id").alias("class_id")).withColumnRenamed("id", "__id")
+    return of, runtime.written(of.groupBy("class").agg(F.min("id").alias("class_id")), "dedup-least")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set", unnamed: bool = False) -> DataFrame:
+    """``docs`` with class_id: the smallest key among the documents of a row's near-duplicate class."""
+    of, least = _classified(docs, key, text, words, threshold, bands, rows, weights, unnamed)
+    named = of.join(least, "class").groupBy("id", "h").agg(F.min("class_id").alias("class_id")).withColumnsRenamed({"id": "__id", "h": "__h"})
     named = runtime.written(named, "dedup-named")
-    return docs.where(F.col(key).isNotNull()).join(named, F.col(f"`{key}`").cast("long") == F.col("__id"), "left").select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(named["class_id"], docs[f"`{key}`"].cast("long")).alias("class_id"))
+    own = F.col(f"`{key}`").cast("long")
+    same = (own.eqNullSafe(F.col("__id")) if unnamed else own == F.col("__id")) & (F.xxhash64(f"`{text}`") == F.col("__h"))
+    return docs.where(F.lit(unnamed) | F.col(f"`{key}`").isNotNull()).join(named, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(named["class_id"], docs[f"`{key}`"].cast("long")).alias("class_id"))
+
+
+def one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+    """One row of each near-duplicate class: the one with the smallest key, and of its texts in the class the one with the smallest hash. A null text stays once for each key."""
+    of, least = _classified(docs, key, text, words, threshold, bands, rows, weights, False)
+    chosen = of.join(least, "class").where("id = class_id").groupBy("class", "id").agg(F.min("h").alias("h"))
+    chosen = runtime.written(chosen.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.lit(True).alias("__chosen")), "dedup-chosen")
+    rows_ = docs.where(F.col(f"`{key}`").isNotNull()).withColumn("__own", F.xxhash64(f"`{text}`"))
+    joined = rows_.join(chosen, (F.col(f"`{key}`").cast("long") == F.col("__id")) & (F.col("__own") == F.col("__h")), "left")
+    kept = joined.where(F.col("__chosen") | F.col(f"`{text}`").isNull())
+    return kept.dropDuplicates([key, "__own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _members(met: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFrame:

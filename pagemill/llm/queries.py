@@ -72,7 +72,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), unnamed=True).select("doc_id", "class_id")
 
 
 ODD_TEXT = r"\### Assistant: </turn> ok"

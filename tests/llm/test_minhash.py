@@ -90,6 +90,18 @@ def test_odd_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_repeated_and_null_keys(spark):
+    a, b, c, d = ("a b c d e f", "g h i j k l m", "n o p q r s", "t u v w x y z 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24")
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, c), (9, c), (1, c), (None, a), (None, d), (None, d + " 25"), (None, None), (8, None), (8, b)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    classes = {a: 1, b: 5, c: 1, d: None, d + " 25": None}
+    got = sorted(map(str, map(tuple, minhash.near_duplicates(df, unnamed=True).select("doc_id", "text", "class_id").collect())))
+    assert got == sorted(str((i, t, classes.get(t, i))) for i, t in rows)
+    got = sorted(map(str, map(tuple, minhash.near_duplicates(df).select("doc_id", "text", "class_id").collect())))
+    assert got == sorted(str((i, t, classes.get(t, i))) for i, t in rows if i is not None)
+    assert sorted(map(str, map(tuple, minhash.one_of_each_class(df).collect()))) == sorted(map(str, [(1, a), (5, b), (1, c), (8, None)]))
+
+
 def test_documents(spark):
     rows = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(spark, SF, "documents")).collect()}

@@ -78,3 +78,10 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_no_class_vanishes_under_repeated_keys(spark):
+    rows = [(1, "the first of them"), (5, "the first of them"), (5, "the other was here"), (7, "the other was here"), (7, "and this is a third one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.keep_one_of_each_class(spark, docs, SF).collect()
+    assert sorted(map(tuple, got)) == [(1, "the first of them"), (5, "the other was here"), (7, "and this is a third one")]
