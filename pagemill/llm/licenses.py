@@ -7,7 +7,11 @@ form differ in nothing that matters to a licence. The SHA-256 of the form is
 joined with the digests of the known licences, so whole texts match whole
 licences and nothing else does.
 
-The known licences are a table of (license_id, text). Their digests are made by
+The known licences are a table of (license_id, text): the short texts and notices
+here, the texts of the folder license_texts, and the usual forms of both
+(``forms``): with a title line, without the appendix, with or without list marks.
+Parts of texts, and texts with names filled in elsewhere than in a copyright line,
+are not known. Their digests are made by
 the same expression, grouped by digest, and broadcast only if their number, which
 is counted, is below a bound; the sides are joined by shuffle otherwise, with
 copies of a text pre-aggregated by digest so that a hot text is one row.
@@ -20,6 +24,9 @@ Texts are digested whole. Extra columns pass through.
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +108,46 @@ Permission is granted to anyone to use this software for any purpose, including
     ),
 )
 
+# Title lines that stand above texts which have none.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License", "BSD Zero-Clause License (0BSD)"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License", 'BSD 2-Clause "Simplified" License', "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", 'BSD 3-Clause "New" or "Revised" License', "BSD License", "The BSD License"),
+    "Unlicense": ("Unlicense", "The Unlicense"),
+}
+# Fixed values: (pattern, replacement) of the forms that texts are found in; each may apply or not.
+FORMS = (
+    (r"https?://(?:www\.)?unlicense\.org/?", "https://unlicense.org"),
+    ("https://", "http://"),
+    ("http://", "https://"),
+    (r"(?s)(END OF TERMS AND CONDITIONS).*", r"\1"),
+    (r"(?s)\s*END OF TERMS AND CONDITIONS\s*$", ""),
+    (r"(?m)^\s*Copyright \[yyyy\].*$", ""),
+    (r"51 Franklin Street, Fifth Floor,\s+Boston,\s+MA\s+02110-1301", "59 Temple Place, Suite 330, Boston, MA 02111-1307"),
+    (r"(?m)^\s*(?:[1-4]\.|\*)\s+(?=Redistributions|Neither)", ""),
+    ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDER AND CONTRIBUTORS"),
+    ("COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS"),
+    (r"and this permission notice shall", "and this permission notice (including the next paragraph) shall"),
+    ("and/or distribute", "and distribute"),
+)
+
+
+def forms(license_id: str, text: str) -> list[str]:
+    """A licence text in the forms that it is found in, with and without a title."""
+    found = {text: None}
+    for pattern, wanted in FORMS:
+        found |= dict.fromkeys(re.sub(pattern, wanted, t) for t in list(found))
+    return [*found, *(f"{title}\n\n{t}" for title in TITLES.get(license_id, ()) for t in found)]
+
+
+def texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the folder license_texts: files are named by the id, and _ and a word where an id has several."""
+    files = sorted((f for f in resources.files("pagemill.llm").joinpath("license_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    return [(f.name.removesuffix(".txt").partition("_")[0], f.read_text("utf-8")) for f in files]
+
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
@@ -132,7 +179,8 @@ def digest(text: Column) -> Column:
 
 def known(spark: SparkSession, extra: list[tuple[str, str]] | None = None) -> DataFrame:
     """The licences that come with this module, and more of (license_id, text)."""
-    return spark.createDataFrame([*TEXTS, *NOTICES, *(extra or [])], "license_id string, text string")
+    whole = [(i, form) for i, t in (*TEXTS, *texts()) for form in forms(i, t)]
+    return spark.createDataFrame([*whole, *NOTICES, *(extra or [])], "license_id string, text string")
 
 
 def scan(docs: DataFrame, licenses: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

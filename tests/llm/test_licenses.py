@@ -32,3 +32,20 @@ def test_sql_gives_the_same(spark):
     texts = [t for _, t in licenses.TEXTS + licenses.NOTICES] + ["sub license sub license licence licence whilst", "Copyright x\nlicence   Programme,centre", "é licence é"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(licenses.canonical(F.col("t"))).collect()]
     assert got == [con.execute(f"select {licenses.canonical_sql('?::varchar')}", [t]).fetchone()[0] for t in texts]
+
+
+def test_common_texts_and_titles(spark):
+    known, short = {}, dict(licenses.TEXTS)
+    for i, t in licenses.texts():
+        known.setdefault(i, t)
+    bsd3 = known["BSD-3-Clause"]
+    rows = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + short["MIT"]), ("MIT", "The MIT License (MIT)\n\n" + short["MIT"]), ("ISC", "ISC License\n\nCopyright 2001 X\n\n" + short["ISC"]),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, Somebody\nAll rights reserved.\n\n" + bsd3), ("BSD-3-Clause", re.sub(r"(?m)^[123]\.", "*", bsd3)), ("BSD-2-Clause", known["BSD-2-Clause"]),
+        ("Apache-2.0", known["Apache-2.0"].replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Somebody")), ("Apache-2.0", known["Apache-2.0"].partition("   APPENDIX")[0]),
+        ("Unlicense", known["Unlicense"].replace("http:", "https:")), *((i, t) for i, t in licenses.texts()), (None, "MIT License"), (None, bsd3[:600]), (None, known["GPL-3.0"] + " more"),
+    ]
+    docs = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.license_id for r in licenses.scan(docs, licenses.known(spark)).collect()}
+    assert [got[n] for n in range(len(rows))] == [i for i, _ in rows]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"} <= set(known)
