@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.codec import files
-from pagemill.codec.types import FieldDef, MemoDef, TableDef
+from pagemill.codec.types import DEFAULT_ENCODING, FieldDef, MemoDef, TableDef
 from pagemill.operators import naming
 from pagemill.sources import read
 
@@ -99,19 +99,48 @@ def land(
     return result
 
 
-def fields_for(schema: T.StructType, text_size: int = 255) -> tuple[tuple[FieldDef, ...], tuple[MemoDef, ...], int]:
-    """Binary fields and memos of a Spark schema, and the record size."""
+def longest(df: DataFrame, encoding: str) -> dict[str, tuple[int, int]]:
+    """Most elements, and most encoded bytes of a text, of every column that has texts or arrays; 0 where there is none. One pass over the data."""
+    size = F.udf(lambda values: max((len(str(v).encode(encoding, "replace")) for v in values or [] if v is not None), default=0), "int")
+    wanted = {}
+    for f in df.schema.fields:
+        many = isinstance(f.dataType, T.ArrayType)
+        if many or isinstance(f.dataType, T.StringType):
+            c = F.col(f"`{f.name}`")
+            text = isinstance(f.dataType.elementType if many else f.dataType, T.StringType)
+            wanted[f.name] = F.max(F.size(c) if many else F.lit(1)), F.max(size(c if many else F.array(c))) if text else F.lit(0)
+    if not wanted:
+        return {}
+    row = df.agg(*[x.alias(f"c{i}_{k}") for i, pair in enumerate(wanted.values()) for k, x in enumerate(pair)]).first()
+    return {name: (max(row[f"c{i}_0"] or 0, 0), row[f"c{i}_1"] or 0) for i, name in enumerate(wanted)}
+
+
+def fields_for(schema: T.StructType, text_size: int = 255, most: dict[str, tuple[int, int]] | None = None) -> tuple[tuple[FieldDef, ...], tuple[MemoDef, ...], int]:
+    """Binary fields and memos of a Spark schema, and the record size.
+
+    The metadata ``size`` and ``elements`` of a column hold. Without them, ``most``
+    (see ``longest``) sets them: arrays have room for the longest, and texts of
+    more than ``text_size`` bytes are memos.
+    """
     fields, memos, at = [], [], 0
     for f in schema.fields:
         kind, elements = f.dataType, 1
+        count, width = (most or {}).get(f.name, (0, 0))
         if isinstance(kind, T.ArrayType):
-            kind, elements = kind.elementType, int(f.metadata.get("elements", 12))
+            # a field of one element would be no array
+            kind, elements = kind.elementType, int(f.metadata.get("elements", max(2, count) if count else 12))
+            width = max(width, text_size)
+        elif width > text_size and "size" not in f.metadata:
+            memos.append(MemoDef(f.name, 0))
+            continue
+        else:
+            width = text_size
         if isinstance(kind, (T.BinaryType,)):
             memos.append(MemoDef(f.name, 0, blob=True))
             continue
         name, size, decimals = {
             "boolean": ("BYTE", 1, 0), "tinyint": ("SHORT", 2, 0), "smallint": ("SHORT", 2, 0), "int": ("LONG", 4, 0), "bigint": ("DECIMAL", 10, 0), "float": ("FLOAT", 4, 0),
-            "double": ("DOUBLE", 8, 0), "string": ("STRING", int(f.metadata.get("size", text_size)), 0), "date": ("DATE", 4, 0),
+            "double": ("DOUBLE", 8, 0), "string": ("STRING", int(f.metadata.get("size", width)), 0), "date": ("DATE", 4, 0),
         }.get(kind.simpleString(), ("", 0, 0))
         if isinstance(kind, T.DecimalType):
             name, size, decimals = "DECIMAL", kind.precision // 2 + 1, kind.scale
@@ -119,6 +148,8 @@ def fields_for(schema: T.StructType, text_size: int = 255) -> tuple[tuple[FieldD
             raise ValueError(f"column {f.name}: the format has no {kind.simpleString()}")
         fields.append(FieldDef(f.name, name, at, size * elements, elements, len(fields), 0, size if elements > 1 else 0, 0, decimals))
         at += size * elements
+    if at > 0xFFFF:
+        raise ValueError(f"a record of {at} bytes: the format has at most 65535")
     return tuple(fields), tuple(memos), at
 
 
@@ -126,7 +157,9 @@ def write_database(tables: dict[str, DataFrame], path: str, **options) -> int:
     """Write tables as one database file and return its rows.
 
     The file is one stream of pages, so the driver writes it; rows arrive one
-    partition at a time, in the order of the DataFrame.
+    partition at a time, in the order of the DataFrame. Sizes of texts and arrays
+    come from the metadata of their columns or else from a pass over the data; a
+    value that does not fit raises ValueError.
     """
     n = 0
 
@@ -138,7 +171,7 @@ def write_database(tables: dict[str, DataFrame], path: str, **options) -> int:
 
     made = []
     for number, (name, df) in enumerate(tables.items(), 1):
-        fields, memos, size = fields_for(df.schema)
+        fields, memos, size = fields_for(df.schema, most=longest(df, options.get("encoding", DEFAULT_ENCODING)))
         made.append((TableDef(number, name, size, fields, memos), rows(df)))
     data = files.encode_file(made, **options)
     Path(path).write_bytes(data)

@@ -84,6 +84,26 @@ def test_reverse(spark, tmp_path):
     assert bytes(read.read_table(spark, str(tmp_path / "o/s.mod"), "M").first().data) == b"blob data"
 
 
+def test_reverse_keeps_long_values(spark, tmp_path):
+    long = "é long text " * 100 + "end"
+    with sqlite3.connect(tmp_path / "l.sqlite") as con:
+        con.execute("CREATE TABLE phd_T (id INTEGER, name TEXT, more TEXT)")
+        con.executemany("INSERT INTO phd_T VALUES (?, ?, ?)", [(1, "a" * 256, "x"), (2, None, "y"), (3, long.replace("é", "e"), "z" * 255), (4, "short", None)])
+    landing.reverse(spark, str(tmp_path / "l.sqlite"), str(tmp_path / "o"))
+    rows = read.read_table(spark, str(tmp_path / "o/l.phd"), "T").orderBy("id").collect()
+    assert [(r.name or "", r.more) for r in rows] == [("a" * 256, "x"), ("", "y"), (long.replace("é", "e"), "z" * 255), ("short", "")]
+    df = spark.createDataFrame([(1, [float(i) for i in range(20)], ["t" * 300, "u"]), (2, None, None)], "id int, v array<double>, t array<string>")
+    landing.write_database({"A": df}, str(tmp_path / "a.tps"))
+    row = read.read_table(spark, str(tmp_path / "a.tps"), "A").orderBy("id").first()
+    assert list(row.v) == [float(i) for i in range(20)] and list(row.t) == ["t" * 300, "u"]
+    fixed = spark.createDataFrame([("abcdef",)], "s string").withMetadata("s", {"size": 3})
+    with pytest.raises(ValueError, match="does not fit"):
+        landing.write_database({"B": fixed}, str(tmp_path / "b.tps"))
+    few = spark.createDataFrame([([1, 2, 3],)], "v array<int>").withMetadata("v", {"elements": 2})
+    with pytest.raises(ValueError, match="do not fit"):
+        landing.write_database({"C": few}, str(tmp_path / "c.tps"))
+
+
 def test_quality_frames(spark):
     a = spark.createDataFrame([(1, "test1", [1.0]), (2, "test2", None)], "id int, name string, v array<double>")
     b = spark.createDataFrame([(1, "test1", [1.0]), (2, "different", None)], "id int, name string, v array<double>")
