@@ -15,20 +15,23 @@ shingle with ``weights="count"``); two are near duplicates if the (weighted)
 Jaccard similarity of their sets is at least ``threshold``; classes are the
 connected components of that relation.
 
-1. Every text gets a 64-bit digest of its words, its size and one key for each
-   band of coordinates. Texts with the same words are one node, named by the
-   digest, so copies add nothing to what follows but a row here.
-2. Of each key that concerns several nodes the smallest is the hub, found by
-   pre-aggregation; members meet their hub, not each other.
+1. Every text gets a digest of its words and one key for each band of
+   coordinates. Texts with the same words are one node, named by the digest, so
+   copies add nothing to what follows but a row here. Names have 64 bits; a second
+   digest of 64 bits finds different texts of one name, which are then renamed.
+2. Of each key that several nodes have, one node is the hub: the one that meets
+   the most others over all its keys, so the hub of a group of copies is near the
+   text that they were made from. Members meet their hubs, not each other.
 3. Each distinct (member, hub) pair is compared exactly. Pairs at or above the
    threshold are links.
 4. Links are contracted to components by large-star and small-star rounds, with
    the edges written to the shared folder in each round.
-5. Texts that share a key with one in another component may have links that
-   their hub does not show. Among these, an exact prefix filter with places
-   finds the pairs in different components that can reach the threshold, and
-   they are compared like the others. Members of a large component never meet
-   each other.
+5. Members of one hub in different components may still be linked. Their sets are
+   written as differences from what more than half of the hub's members have. Two
+   sets that are similar differ from that base in much the same elements, so a
+   prefix filter on the differences, rare ones first, finds the pairs that can
+   reach the threshold, exactly, and hardly any other, even in a group whose texts
+   are all just below it. Sets near enough to the base are linked without a join.
 
 So every pair that shares a key is compared, proven to be below the threshold,
 or already in one class; there is no cap on partners.
@@ -40,21 +43,21 @@ repeated key gives a row each, with the class of the row's own text. So classes
 whose smallest key is the same have one id; ``one_of_each_class`` tells them
 apart by their texts. Rows with a null key are left out, or, with ``unnamed``,
 take part: they have the id of their class, null if no row of it has a key.
-Rows are told apart by key and a 64-bit hash of the text. Words are runs of ASCII letters,
-digits and non-ASCII characters, lower-cased. Texts are read whole. Extra
-columns pass through ``near_duplicates`` untouched.
+Rows are told apart by key and a 64-bit hash of the text. Words are runs of ASCII
+letters, digits and non-ASCII characters, lower-cased. Texts are read whole. Extra
+columns pass through ``near_duplicates``; one that is called class_id becomes
+class_id_input.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagemill.llm import runtime
 
@@ -62,8 +65,6 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 EPSILON = 1e-9
-#: Counters of the table that orders elements.
-COUNTERS = 1 << 18
 #: Most bytes of text hashed at once.
 CHUNK = 1 << 20
 
@@ -106,8 +107,8 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shingle hashes of the texts one after another, the number in each text, and a digest of each text's words (0 if none)."""
+def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The shingle hashes of the texts one after another, the number in each text, and two digests of each text's words (the first 0 if none)."""
     data = [t.lower().encode("utf-8", "surrogatepass") + b" " for t in texts]
     starts, hashes = word_hashes(np.frombuffer(b"".join(data), dtype=np.uint8))
     bounds = np.concatenate([[0], np.cumsum([len(d) for d in data])])
@@ -115,10 +116,8 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     n_words = np.diff(first)
     position = np.arange(len(hashes)) - np.repeat(first[:-1], n_words)
     # a digest: each word's hash times a factor of its position, summed
-    terms = mix(hashes ^ mix(position.astype(np.uint64) + _U(77)))
-    total = np.zeros(len(terms) + 1, dtype=np.uint64)
-    np.cumsum(terms, out=total[1:])
-    digest = mix(total[first[1:]] - total[first[:-1]] + n_words.astype(np.uint64))
+    places = mix(position.astype(np.uint64) + _U(77))
+    digest, check = (_summed(mix(hashes * factor ^ places), first, n_words) for factor in (_U(1), _U(0x9FB21C651E98DF25)))
     digest[n_words == 0] = 0
     padded = np.concatenate([hashes, np.zeros(words, dtype=np.uint64)])
     rolled = np.zeros(len(hashes), dtype=np.uint64)
@@ -131,7 +130,14 @@ def shingles(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarr
     rolled[at] = digest[short]
     keep[at] = True
     count = np.bincount(np.repeat(np.arange(len(texts)), n_words)[keep], minlength=len(texts))
-    return rolled[keep], count, digest
+    return rolled[keep], count, digest, check
+
+
+def _summed(terms: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A digest of the terms of each run."""
+    total = np.zeros(len(terms) + 1, dtype=np.uint64)
+    np.cumsum(terms, out=total[1:])
+    return mix(total[first[1:]] - total[first[:-1]] + n.astype(np.uint64))
 
 
 def weighted(values: np.ndarray, counts: np.ndarray, by_count: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -195,21 +201,76 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def _size(weights: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    return np.bincount(np.repeat(np.arange(len(counts)), counts), weights, minlength=len(counts)).astype(np.int64)
+def _elements(texts: list[str], words: int, by_count: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of each set, sorted; with counts, each repeat of a shingle is an element of its own, so that sets of these have the weighted similarity."""
+    values, counts, _, _ = shingles(texts, words)
+    elements, weights, n = weighted(values, counts, by_count)
+    if not by_count:
+        return elements, n
+    repeats = weights.astype(np.int64)
+    nth = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
+    made = mix(np.repeat(elements, repeats) + mix(nth.astype(np.uint64)))
+    owner = np.repeat(np.repeat(np.arange(len(n)), n), repeats)
+    return made[np.lexsort((made, owner))], np.bincount(owner, minlength=len(n))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets, given as sorted arrays."""
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    total = len(a) + len(b) - common
+    return common / total if total else 0.0
+
+
+class Sets:
+    """The element sets of texts by node; keeps the last ones, as pairs of one hub come together."""
+
+    def __init__(self, words: int, by_count: bool):
+        self.words, self.by_count = words, by_count
+        self.kept: dict[int, np.ndarray] = {}
+        self.size = 0
+
+    def pairs(self, batch: pa.RecordBatch) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
+        """Row numbers of a batch of a, b, ta and tb, in runs, and both sets of each."""
+        a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+        for part in runtime.slices([x if len(x) > len(y) else y for x, y in zip(ta, tb, strict=True)], CHUNK):
+            named = {i: t for ids, texts in ((a, ta), (b, tb)) for i, t in ((ids[k], texts[k]) for k in part)}
+            new = {i: t for i, t in named.items() if i not in self.kept}
+            if self.size + sum(map(len, new.values())) > 8 * CHUNK:
+                self.kept.clear()
+                new, self.size = named, 0
+            self.size += sum(map(len, new.values()))
+            if new:
+                elements, counts = _elements(list(new.values()), self.words, self.by_count)
+                for i, end, n in zip(new, np.cumsum(counts), counts, strict=True):
+                    self.kept[i] = elements[end - n : end].copy()
+            yield part, [(self.kept[a[k]], self.kept[b[k]]) for k in part]
+
+
+SIGNED = "id long, h long, words long, check long, bands array<long>"
+
+
+def _texts(docs: DataFrame, key: str, text: str, unnamed: bool) -> DataFrame:
+    own, said = F.col(f"`{key}`"), F.col(f"`{text}`")
+    return docs.where((F.lit(unnamed) | own.isNotNull()) & said.isNotNull()).select(own.cast("long").alias("id"), F.xxhash64(said).alias("h"), said.alias("t"))
+
+
+def _digests(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What shingles() gives, but texts without a word are told by their bytes."""
+    values, counts, digest, check = shingles(texts, words)
+    for i in np.nonzero(digest == 0)[0]:
+        raw = hashlib.blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        digest[i], check[i] = np.frombuffer(raw, dtype=np.uint64)
+    return values, counts, digest, check
 
 
 def _sign(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int, by_count: bool, unnamed: bool) -> DataFrame:
-    """id, hash of the text, word digest, size and band keys of every row with a key and a text."""
+    """id, hash of the text, both word digests and band keys of every row that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("t").to_pylist()
             for part in runtime.slices(texts, CHUNK):
-                some = [texts[i] for i in part]
-                values, counts, digest = shingles(some, words)
-                for i in np.nonzero(digest == 0)[0]:  # no word: known by its bytes
-                    digest[i] = int.from_bytes(hashlib.blake2b(some[i].encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+                values, counts, digest, check = _digests([texts[i] for i in part], words)
                 elements, weights, counts = weighted(values, counts, by_count)
                 full = counts > 0
                 keys = np.zeros((0, bands), dtype=np.int64)
@@ -217,111 +278,73 @@ def _sign(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: in
                     keys = band_keys(signatures(elements, weights, counts[full], bands * rows), bands, rows)
                 ends = np.concatenate([[0], np.cumsum(np.where(full, bands, 0))]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
-                size = pa.array(_size(weights, counts).astype(np.int32))
                 own = [batch.column(c).slice(part[0], len(part)) for c in ("id", "h")]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(digest.view(np.int64)), size, lists], ["id", "h", "words", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), lists], ["id", "h", "words", "check", "bands"])
 
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("words", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))])
-    return _texts(docs, key, text, unnamed).mapInArrow(run, schema)
+    return _texts(docs, key, text, unnamed).mapInArrow(run, SIGNED)
 
 
-def _texts(docs: DataFrame, key: str, text: str, unnamed: bool) -> DataFrame:
-    named = F.lit(unnamed) | F.col(f"`{key}`").isNotNull()
-    return docs.where(named & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("h"), F.col(f"`{text}`").alias("t"))
-
+def _told_apart(signed: DataFrame) -> DataFrame:
+    """Nodes whose second digests differ get names of their own, made from both digests."""
+    doubled = signed.groupBy("words").agg(F.min("check").alias("__low"), F.max("check").alias("__high")).where("__low < __high").select("words")
+    doubled = runtime.written(doubled, "dedup-doubled")
+    if not doubled.limit(1).count():
+        return signed
+    marked = signed.join(doubled.withColumn("__two", F.lit(True)), "words", "left")
+    return marked.select("id", "h", F.when(F.col("__two"), F.xxhash64("words", "check")).otherwise(F.col("words")).alias("words"), "check", "bands")
 
-def _texts_of(docs: DataFrame, key: str, text: str, needed: DataFrame, words: int, unnamed: bool) -> DataFrame:
-    """(words, t): one text for each needed digest. ``needed`` holds digests with an id, or where none has one, a hash of a text that has each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("t").to_pylist()
-            for part in runtime.slices(texts, CHUNK):
-                _, _, digest = shingles([texts[i] for i in part], words)
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(part[0], len(part)), pa.array(digest.view(np.int64)), batch.column("t").slice(part[0], len(part))], ["id", "words", "t"])
 
+def _texts_of(docs: DataFrame, key: str, text: str, needed: DataFrame, unnamed: bool) -> DataFrame:
+    """(words, t): one text of each needed node, found by the key and hash of a row that has it."""
     all_rows = _texts(docs, key, text, unnamed)
-    rows = all_rows.select("id", "t").join(needed.select("id").distinct(), "id", "left_semi")
-    # an id that repeats with other texts brings those too; the digest tells which are meant
-    found = rows.mapInArrow(run, "id long, words long, t string").join(needed, ["id", "words"], "left_semi").select("words", "t")
-    if unnamed:
-        bare = needed.where("id is null").select("h").distinct()
-        rows = all_rows.where("id is null").join(bare, "h", "left_semi").select("id", "t")
-        more = rows.mapInArrow(run, "id long, words long, t string").select("words", "t")
-        found = found.unionAll(more.join(needed.where("id is null"), "words", "left_semi"))
-    return found.dropDuplicates(["words"])
+    same = [all_rows["id"].eqNullSafe(needed["id"]) if unnamed else all_rows["id"] == needed["id"], all_rows["h"] == needed["h"]]
+    return all_rows.join(needed, same).select("words", "t").dropDuplicates(["words"])
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sets of sorted elements and weights."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = np.minimum(a[1][i], b[1][j]).sum()
-    total = a[1].sum() + b[1].sum() - common
-    return float(common / total) if total else 0.0
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) with both texts. Texts move with plain joins, whose hot keys Spark splits."""
+    left = pairs.join(texts.select(F.col("words").alias("a"), F.col("t").alias("ta")), "a")
+    return left.join(texts.select(F.col("words").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, by_count: bool) -> DataFrame:
-    """The similarity j of each (a, b), exact, from the texts.
-
-    Texts move with plain joins, whose hot keys Spark splits. A task keeps the
-    last sets it made, as pairs of one hub come together.
-    """
-    left = pairs.join(texts.select(F.col("words").alias("a"), F.col("t").alias("ta")), "a")
-    both = left.join(texts.select(F.col("words").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    """The similarity j of each (a, b), exact, from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple] = {}
-        size = 0
-
-        def sets(ids: list[int], texts_: list[str]) -> None:
-            nonlocal size
-            new = {i: t for i, t in zip(ids, texts_, strict=True) if i not in kept}
-            if size + sum(map(len, new.values())) > 8 * CHUNK:
-                kept.clear()
-                new = dict(zip(ids, texts_, strict=True))
-                size = 0
-            size += sum(map(len, new.values()))
-            if new:
-                values, counts, _ = shingles(list(new.values()), words)
-                elements, weights, counts = weighted(values, counts, by_count)
-                ends = np.cumsum(counts)
-                for i, end, n in zip(new, ends, counts, strict=True):
-                    kept[i] = elements[end - n : end].copy(), weights[end - n : end].copy()
-
+        sets = Sets(words, by_count)
         for batch in batches:
-            a, b, ta, tb = (c.to_pylist() for c in batch.columns)
-            out = np.zeros(len(a))
-            for part in runtime.slices([x if len(x) > len(y) else y for x, y in zip(ta, tb, strict=True)], CHUNK):
-                sets([a[i] for i in part] + [b[i] for i in part], [ta[i] for i in part] + [tb[i] for i in part])
-                for i in part:
-                    out[i] = similarity(kept[a[i]], kept[b[i]])
+            out = np.zeros(batch.num_rows)
+            for part, both in sets.pairs(batch):
+                out[part] = [similarity(x, y) for x, y in both]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "j"])
 
-    return both.mapInArrow(run, "a long, b long, j double")
+    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, j double")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, class) of every node of the edges (a, b): class is the smallest id of its component.
 
     Each round hooks every node and its neighbours to the smallest of them, in
-    alternation for the larger neighbours only and for all, so the depth halves;
-    both sides are pre-aggregated minima and joins that Spark may split.
+    alternation for the larger neighbours only and for all, so the depth halves.
+    The minima are pre-aggregated and written, so what follows are plain joins of
+    tables, in which Spark can split the edges of a node that has many.
     """
-    now = runtime.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    state = _state(now)
-    while True:
-        # large star: the larger neighbours of a node hook to its smallest neighbour, or to itself
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = runtime.written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
-        # small star: a node and its smaller neighbours hook to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("v"))
-        small = large.withColumnRenamed("v", "w").join(low, "u").where("w <> v").select(F.col("w").alias("u"), "v").unionAll(low).distinct()
-        now, before = runtime.written(small, "links"), state
+    with runtime.scope(edges.sparkSession):
+        now = runtime.written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
         state = _state(now)
-        if state == before:
-            roots = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("class"))
-            return now.select(F.col("u").alias("id"), F.col("v").alias("class")).unionAll(roots)
+        while True:
+            # large star: the larger neighbours of a node hook to its smallest neighbour, or to itself
+            both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = runtime.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "links")
+            large = runtime.written(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "links")
+            # small star: a node and its smaller neighbours hook to the smallest of them
+            low = runtime.written(large.groupBy("u").agg(F.min("v").alias("m")), "links")
+            small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low).distinct()
+            now, before = runtime.written(small, "links"), state
+            state = _state(now)
+            if state == before:
+                roots = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("class"))
+                return runtime.written(now.select(F.col("u").alias("id"), F.col("v").alias("class")).unionAll(roots), "dedup-classes", lasting=True)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -329,119 +352,184 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
 
+def _met(signed: DataFrame) -> DataFrame:
+    """Distinct (words, hub): the members of each key that several nodes have, with the hub of the key."""
+    banded = signed.select("words", F.explode("bands").alias("band"))
+    # copies share all keys, so a key concerns several nodes exactly if its smallest and largest names differ
+    shared = banded.groupBy("band").agg(F.min("words").alias("low"), F.max("words").alias("high")).where("low < high").select("band")
+    keyed = runtime.written(banded.join(shared, "band").distinct(), "dedup-keyed")
+    members = keyed.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    meetings = keyed.join(runtime.written(members, "dedup-counted"), "band").groupBy("words").agg(F.sum("n").alias("n"))
+    ranked = runtime.written(meetings.select("words", rank_of(F.col("n"), F.col("words")).alias("rank")), "dedup-ranked")
+    keyed = runtime.written(keyed.join(ranked, "words"), "dedup-keyed")
+    top = runtime.written(keyed.groupBy("band").agg(F.max("rank").alias("rank")), "dedup-top")
+    hubs = runtime.written(keyed.join(top, ["band", "rank"]).select("band", F.col("words").alias("hub")), "dedup-hubs")
+    return keyed.join(hubs, "band").where("words <> hub").select("words", "hub").distinct()
+
+
+def rank_of(meetings: Column, words: Column) -> Column:
+    """One number that orders nodes by their meetings, then by a hash."""
+    return F.shiftleft(F.least(meetings, F.lit(2**31 - 1)), 32) + F.xxhash64(words).bitwiseAND(F.lit(2**32 - 1))
+
+
+def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (words, hub, ...) with c, the component of the member, and stray: whether the hub's is another."""
+    own = classes.select(F.col("id").alias("words"), F.col("class").alias("__c"))
+    hubs = classes.select(F.col("id").alias("hub"), F.col("class").alias("__hc"))
+    c = F.coalesce("__c", "words")
+    return pairs.join(own, "words", "left").join(hubs, "hub", "left").select(*pairs.columns, c.alias("c"), (c != F.coalesce("__hc", "hub")).alias("stray"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """The members of hubs that have members in several components."""
+    hubs = members.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub")
+    return members.join(hubs, "hub")
+
+
+def _differences(members: DataFrame, texts: DataFrame, words: int, by_count: bool) -> DataFrame:
+    """(hub, words, n, d): the size of each member's set, and the elements in which it differs from what more than half of the hub's members have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(words, by_count)
+        for batch in batches:
+            for part, both in sets.pairs(batch):
+                apart = [np.setxor1d(x, hub, assume_unique=True) for x, hub in both]
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in apart])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(apart).view(np.int64)))
+                own = [batch.column(c).slice(part[0], len(part)) for c in ("b", "a")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for x, _ in both], pa.int32()), lists], ["hub", "words", "n", "d"])
+
+    pairs = members.select(F.col("words").alias("a"), F.col("hub").alias("b"))
+    apart = runtime.written(_with_texts(pairs, texts).mapInArrow(run, "hub long, words long, n int, d array<long>"), "dedup-apart")
+    # an element in which more than half of the members differ from the hub is the hub's own oddity
+    size = apart.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
+    count = runtime.written(apart.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "dedup-counted")
+    odd = count.join(size, "hub").where("2 * k > m").groupBy("hub").agg(F.collect_list("e").alias("odd"))  # at most twice as many as a member has on average
+    none = F.array().cast("array<long>")
+    flipped = F.concat(F.array_except("d", "odd"), F.array_except("odd", "d"))
+    # a hub with two members keeps for each what the other lacks; one that has no odd element stays as it is
+    joined = apart.join(runtime.written(odd, "dedup-odd"), "hub", "left")
+    return joined.select("hub", "words", "n", F.when(F.col("odd").isNull(), F.coalesce("d", none)).otherwise(flipped).alias("d"))
+
+
+def _near_base(rows: DataFrame) -> DataFrame:
+    """Links (a, b) of members to the one that is nearest to the base of their hub, where the differences of both are too few to be apart."""
+    best = rows.groupBy("hub").agg(F.min(F.struct("g", "words")).alias("best"))
+    best = runtime.written(best.select("hub", F.col("best.g").alias("bg"), F.col("best.words").alias("b")), "dedup-best")
+    return rows.join(best, "hub").where((F.col("words") != F.col("b")) & (F.col("g") + F.col("bg") <= 1e-10 * F.col("n"))).select(F.col("words").alias("a"), "b").distinct()
+
+
+def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of members of one hub, in different components, that may reach the threshold.
+
+    ``rows`` has hub, words, n, d, g, c and stray. With u = (1 - t) / (1 + t), sets of
+    sizes n and n' have similarity t or more exactly if they differ in at most
+    u (n + n') elements, so exactly if their differences from any base share at
+    least (g + g') / 2 elements, where g = size of the difference - u n. Of two
+    members the one with the larger g probes the other, so the elements that an
+    indexed member must show are those before its last g, and a prober's those
+    before its last (g + least g that it can meet) / 2, rare elements first.
+    """
+    least = runtime.written(rows.groupBy("hub", "c").agg(F.min("g").alias("low")), "dedup-least")
+    first = least.groupBy("hub").agg(F.min(F.struct("low", "c")).alias("f")).select("hub", F.col("f.low").alias("g1"), F.col("f.c").alias("c1"))
+    first = runtime.written(first, "dedup-least")
+    second = least.join(first, "hub").where("c <> c1").groupBy("hub").agg(F.min("low").alias("g2"))
+    floors = runtime.written(first.join(second, "hub"), "dedup-floors")
+    known = rows.join(floors, "hub").select("hub", "words", "n", F.size("d").alias("d"), "g", "c", "stray", F.when(F.col("c") == F.col("c1"), F.col("g2")).otherwise(F.col("g1")).alias("low"))
+    known = runtime.written(known, "dedup-known")
+    elements = rows.select("hub", "words", F.explode("d").alias("e"))
+    count = runtime.written(elements.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "dedup-counted")
+    # elements that one member alone has come first and meet nothing
+    shared = elements.join(count, ["hub", "e"])
+    own = Window.partitionBy("hub", "words")
+    placed = shared.select("hub", "words", "e", (F.row_number().over(own.orderBy("k", "e")) - 1).alias("nth"), F.count(F.lit(1)).over(own).alias("of"))
+    placed = placed.join(known, ["hub", "words"]).withColumn("place", F.col("nth") + F.col("d") - F.col("of"))
+
+    def need(x: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(x - 1e-6))
+
+    placed = placed.select("hub", "e", "words", "n", "d", "g", "c", "stray", "place", ((F.col("g") >= F.col("low")) & (F.col("place") <= F.col("d") - need((F.col("g") + F.col("low")) / 2))).alias("probes"), (F.col("place") <= F.col("d") - need(F.col("g"))).alias("indexed"))
+    placed = runtime.written(placed.where("probes or indexed"), "dedup-prefixes")
+    names = ("words", "n", "d", "g", "c", "stray", "place")
+    a = placed.where("probes").select("hub", "e", *[F.col(x).alias(f"a_{x}") for x in names])
+    b = placed.where("indexed").select("hub", "e", *[F.col(x).alias(f"b_{x}") for x in names])
+    needed = need((F.col("a_g") + F.col("b_g")) / 2)
+    above = (F.col("a_g") > F.col("b_g")) | (F.col("a_g") == F.col("b_g")) & (F.col("a_words") > F.col("b_words"))
+    room = (F.col("a_place") <= F.col("a_d") - needed) & (F.col("b_place") <= F.col("b_d") - needed) & (F.least("a_n", "b_n") >= threshold * F.greatest("a_n", "b_n") - 1e-6)
+    return a.join(b, ["hub", "e"]).where(above & (F.col("a_c") != F.col("b_c")) & (F.col("a_stray") | F.col("b_stray")) & room).select(F.col("a_words").alias("a"), F.col("b_words").alias("b")).distinct()
+
+
+def _classes(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, threshold: float, by_count: bool) -> DataFrame:
+    """(id, class) of every node that is linked to another."""
+    pairs = runtime.written(_met(signed), "dedup-pairs")
+    concerned = signed.join(pairs.select(F.explode(F.array("words", "hub")).alias("words")).distinct(), "words", "left_semi")
+    needed = concerned.groupBy("words").agg(F.min(F.struct("id", "h")).alias("row")).select("words", "row.id", "row.h")
+    texts = runtime.written(texts_of(runtime.written(needed, "dedup-needed")), "dedup-texts")
+    over = F.col("j") >= threshold - EPSILON
+    links = runtime.written(_compared(pairs.select(F.col("words").alias("a"), F.col("hub").alias("b")), texts, words, by_count).where(over), "dedup-compared").select("a", "b")
+    classes = components(links)
+    members = runtime.written(_open(_with_classes(pairs, classes)).select("words", "hub"), "dedup-open")
+    if not members.limit(1).count():
+        return classes
+    apart = (F.size("d") - (1 - threshold) / (1 + threshold) * F.col("n")).alias("g")
+    rows = runtime.written(_differences(members, texts, words, by_count).select("*", apart), "dedup-differences")
+    near = runtime.written(_near_base(rows), "dedup-near")
+    if near.limit(1).count():
+        links = links.unionAll(near)
+        classes = components(links)
+    rows = runtime.written(_open(_with_classes(rows, classes)), "dedup-open")
+    found = runtime.written(_compared(_candidates(rows, threshold), texts, words, by_count).where(over), "dedup-more")
+    return components(links.unionAll(found.select("a", "b"))) if found.limit(1).count() else classes
+
+
 def _classified(docs: DataFrame, key: str, text: str, words: int, threshold: float, bands: int, rows: int, weights: str, unnamed: bool) -> tuple[DataFrame, DataFrame]:
     """(id, h, class) of every row with a text, h being the hash of the text, and (class, class_id)."""
     spark = docs.sparkSession
     runtime.bound_batches(spark)
     by_count = {"set": False, "count": True}[weights]
-    signed = runtime.written(_sign(docs, key, text, words, bands, rows, by_count, unnamed), "dedup-signed")
-    firsts = signed.groupBy("words").agg(F.min("id").alias("id"), F.min("h").alias("h"))
-    banded = signed.select("words", "size", F.explode("bands").alias("band"))
-    # copies share all keys, so a key concerns several texts exactly if its smallest and largest digests differ
-    hubs = banded.groupBy("band").agg(F.min("words").alias("hub"), F.max("words").alias("top")).where("hub < top").select("band", "hub")
-    met = runtime.written(banded.join(hubs, "band").where("words <> hub").distinct(), "dedup-met")
-    pairs = runtime.written(met.select(F.col("words").alias("a"), F.col("hub").alias("b")).distinct(), "dedup-pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("words")).distinct().join(firsts, "words")
-    texts = runtime.written(_texts_of(docs, key, text, needed, words, unnamed), "dedup-texts")
-    seen = runtime.written(_compared(pairs, texts, words, by_count), "dedup-compared")
-    links = seen.where(F.col("j") >= threshold - EPSILON).select("a", "b")
-    classes = runtime.written(components(links), "dedup-classes")
-    members = runtime.written(_members(met, classes, seen), "dedup-open")
-    found = runtime.written(_compared(_missed(members, texts, threshold, words, by_count), texts, words, by_count).where(F.col("j") >= threshold - EPSILON), "dedup-more")
-    if found.limit(1).count():
-        classes = runtime.written(components(links.unionAll(found.select("a", "b"))), "dedup-classes")
-    of = signed.select("id", "h", "words").join(classes.withColumnRenamed("id", "words"), "words", "left").select("id", "h", F.coalesce("class", "words").alias("class"))
-    of = runtime.written(of, "dedup-members")
+    with runtime.scope(spark):
+        signed = _told_apart(runtime.written(_sign(docs, key, text, words, bands, rows, by_count, unnamed), "dedup-signed"))
+        classes = _classes(signed, lambda needed: _texts_of(docs, key, text, needed, unnamed), words, threshold, by_count)
+        of = signed.select("id", "h", "words").join(classes.withColumnRenamed("id", "words"), "words", "left").select("id", "h", F.coalesce("class", "words").alias("class"))
+        of = runtime.written(of, "dedup-members", lasting=True)
     return of, runtime.written(of.groupBy("class").agg(F.min("id").alias("class_id")), "dedup-least")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set", unnamed: bool = False) -> DataFrame:
-    """``docs`` with class_id: the smallest key among the documents of a row's near-duplicate class."""
-    of, least = _classified(docs, key, text, words, threshold, bands, rows, weights, unnamed)
-    named = of.join(least, "class").groupBy("id", "h").agg(F.min("class_id").alias("class_id")).withColumnsRenamed({"id": "__id", "h": "__h"})
-    named = runtime.written(named, "dedup-named")
-    own = F.col(f"`{key}`").cast("long")
-    same = (own.eqNullSafe(F.col("__id")) if unnamed else own == F.col("__id")) & (F.xxhash64(f"`{text}`") == F.col("__h"))
-    return docs.where(F.lit(unnamed) | F.col(f"`{key}`").isNotNull()).join(named, same, "left").select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(named["class_id"], docs[f"`{key}`"].cast("long")).alias("class_id"))
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows, packed, with a key that has no null and a hash of the text, null for a null text."""
+    own, said = F.col(f"`{key}`").cast("long"), F.col(f"`{text}`")
+    return runtime.packed(docs, __id=F.coalesce(own, F.lit(0)), __none=own.isNull(), __h=F.when(said.isNotNull(), F.xxhash64(said)))
 
 
-def one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """One row of each near-duplicate class: the one with the smallest key, and of its texts in the class the one with the smallest hash. A null text stays once for each key."""
-    of, least = _classified(docs, key, text, words, threshold, bands, rows, weights, False)
-    chosen = of.join(least, "class").where("id = class_id").groupBy("class", "id").agg(F.min("h").alias("h"))
-    chosen = runtime.written(chosen.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.lit(True).alias("__chosen")), "dedup-chosen")
-    rows_ = docs.where(F.col(f"`{key}`").isNotNull()).withColumn("__own", F.xxhash64(f"`{text}`"))
-    joined = rows_.join(chosen, (F.col(f"`{key}`").cast("long") == F.col("__id")) & (F.col("__own") == F.col("__h")), "left")
-    kept = joined.where(F.col("__chosen") | F.col(f"`{text}`").isNull())
-    return kept.dropDuplicates([key, "__own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def _members(met: DataFrame, classes: DataFrame, seen: DataFrame) -> DataFrame:
-    """Texts that share a key with one in another component: words, c and whether the text is a stray, in another component than a hub of its keys."""
-    own = classes.select(F.col("id").alias("words"), F.col("class").alias("c"))
-    hubs = classes.select(F.col("id").alias("hub"), F.col("class").alias("hc"))
-    pairs = seen.select(F.col("a").alias("words"), F.col("b").alias("hub")).join(own, "words", "left").join(hubs, "hub", "left")
-    pairs = pairs.select("words", "hub", F.coalesce("c", "words").alias("c"), (F.coalesce("c", "words") != F.coalesce("hc", "hub")).alias("stray"))
-    joined = runtime.written(met.join(pairs, ["words", "hub"]).select("band", "words", "c", "stray"), "dedup-keyed")
-    open_keys = joined.where("stray").select("band").distinct()
-    return joined.join(open_keys, "band", "left_semi").groupBy("words").agg(F.max("stray").alias("stray"), F.min("c").alias("c"))
+KEYS = ["__id", "__none", "__h"]
 
 
-def _elements(texts: list[str], words: int, by_count: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct elements of each set; with counts, each repeat of a shingle is an element of its own."""
-    values, counts, _ = shingles(texts, words)
-    elements, weights, n = weighted(values, counts, by_count)
-    if not by_count:
-        return elements, n
-    repeats = weights.astype(np.int64)
-    nth = np.arange(repeats.sum()) - np.repeat(np.cumsum(repeats) - repeats, repeats)
-    return mix(np.repeat(elements, repeats) + mix(nth.astype(np.uint64))), np.bincount(np.repeat(np.arange(len(n)), n), repeats, minlength=len(n)).astype(np.int64)
+def _as_keys(rows: DataFrame, *more: Column) -> DataFrame:
+    """id and h of some rows as :func:`_keyed` has them."""
+    return rows.select(F.coalesce("id", F.lit(0)).alias("__id"), F.col("id").isNull().alias("__none"), F.col("h").alias("__h"), *more)
 
 
-def _missed(members: DataFrame, texts: DataFrame, threshold: float, words: int, by_count: bool) -> DataFrame:
-    """Pairs of a stray and a text in another component that may reach the threshold, by an exact prefix filter.
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set", unnamed: bool = False) -> DataFrame:
+    """``docs`` with class_id: the smallest key among the documents of a row's near-duplicate class."""
+    with runtime.scope(docs.sparkSession):
+        of, least = _classified(docs, key, text, words, threshold, bands, rows, weights, unnamed)
+        named = of.join(least, "class").groupBy("id", "h").agg(F.min("class_id").alias("class_id"))
+        named = runtime.written(_as_keys(named, F.col("class_id").alias("__class_id")), "dedup-named", lasting=True)
+    joined = _keyed(docs, key, text).where(F.lit(unnamed) | ~F.col("__none")).join(named, KEYS, "left")
+    return joined.select(*runtime.unpacked(docs.columns, ["class_id"]), F.coalesce("__class_id", F.when(~F.col("__none"), F.col("__id"))).alias("class_id"))
 
-    In one order of all elements, two sets with J >= threshold share one among
-    the first n - ceil(threshold * n) + 1 of each, and the places of the first
-    that they share leave room for the overlap that J needs. Any order is exact;
-    rare elements first makes few pairs, so elements are ordered by a table of
-    counts of bounded size.
-    """
-    spark = texts.sparkSession
-    wanted = texts.join(members, "words").select("words", "t", "c", "stray")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
-            all_texts = batch.column("t").to_pylist()
-            for part in runtime.slices(all_texts, CHUNK):
-                elements, _ = _elements([all_texts[i] for i in part], words, by_count)
-                total += np.bincount((elements % _U(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        (at,) = total.nonzero()
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["i", "n"])
-
-    rows = wanted.mapInArrow(count, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(COUNTERS, dtype=np.int64)
-    table[rows["i"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    shared = runtime.broadcast(spark, table, table.nbytes)
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_texts = batch.column("t").to_pylist()
-            for part in runtime.slices(all_texts, CHUNK):
-                e, n = _elements([all_texts[i] for i in part], words, by_count)
-                owner = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((e, shared.value[(e % _U(COUNTERS)).astype(np.int64)], owner))
-                place = np.arange(len(e)) - np.repeat(np.cumsum(n) - n, n)
-                keep = place <= (n - np.ceil(threshold * n - EPSILON))[owner]
-                at = pa.array(owner[keep] + part[0])
-                own = [batch.column(x).take(at) for x in ("words", "c", "stray")]
-                yield pa.RecordBatch.from_arrays([pa.array(e[order][keep].view(np.int64)), pa.array(place[keep].astype(np.int32)), pa.array(n[owner][keep].astype(np.int32)), *own], ["e", "place", "n", "words", "c", "stray"])
-
-    made = runtime.written(wanted.mapInArrow(prefixes, "e long, place int, n int, words long, c long, stray boolean"), "dedup-prefixes")
-    left = made.where("stray").select("e", *[F.col(x).alias(f"a_{x}") for x in ("place", "n", "words", "c")])
-    right = made.select("e", *[F.col(x).alias(f"b_{x}") for x in ("place", "n", "words", "c", "stray")])
-    room = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place"))
-    needed = F.ceil(threshold / (1 + threshold) * (F.col("a_n") + F.col("b_n")) - 1e-6)
-    open_pair = (F.col("a_c") != F.col("b_c")) & (~F.col("b_stray") | (F.col("a_words") < F.col("b_words"))) & (room >= needed)
-    return left.join(right, "e").where(open_pair).select(F.col("a_words").alias("a"), F.col("b_words").alias("b")).distinct()
+def one_of_each_class(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
+    """One row of each near-duplicate class: the one with the smallest key, nulls last, and of its texts in the class the one with the smallest hash. Rows with a null text are classes of their own, so all stay."""
+    with runtime.scope(docs.sparkSession):
+        of, _ = _classified(docs, key, text, words, threshold, bands, rows, weights, True)
+        texts = of.groupBy("class", "id", "h").agg(F.count(F.lit(1)).alias("n"))
+        chosen = texts.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "h", "n")).alias("row")).select("row.*")
+        chosen = runtime.written(_as_keys(chosen, F.col("n").alias("__n")), "dedup-chosen", lasting=True)
+    joined = _keyed(docs, key, text).join(chosen, KEYS, "left")
+    kept = joined.where(F.col("__n").isNotNull() | F.col("__h").isNull())
+    if chosen.where("__n > 1").limit(1).count():
+        # rows that repeat in key and text: a struct as the key makes Spark drop what it can before rows move
+        repeated = joined.where("__n > 1").withColumn("__same", F.struct(*KEYS)).dropDuplicates(["__same"]).drop("__same")
+        kept = kept.where(F.coalesce(F.col("__n"), F.lit(1)) == 1).unionAll(repeated)
+    return kept.select(*runtime.unpacked(docs.columns, []))
