@@ -298,7 +298,8 @@ def _texts_of(docs: DataFrame, key: str, text: str, needed: DataFrame, unnamed:
     """(words, t): one text of each needed node, found by the key and hash of a row that has it."""
     all_rows = _texts(docs, key, text, unnamed)
     same = [all_rows["id"].eqNullSafe(needed["id"]) if unnamed else all_rows["id"] == needed["id"], all_rows["h"] == needed["h"]]
-    return all_rows.join(needed, same).select("words", "t").dropDuplicates(["words"])
+    # the needed nodes grow with the data, so they are never broadcast
+    return all_rows.join(needed.hint("merge"), same).select("words", "t").dropDuplicates(["words"])
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -462,8 +463,9 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
 def _classes(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, threshold: float, by_count: bool) -> DataFrame:
     """(id, class) of every node that is linked to another."""
     pairs = runtime.written(_met(signed), "dedup-pairs")
-    concerned = signed.join(pairs.select(F.explode(F.array("words", "hub")).alias("words")).distinct(), "words", "left_semi")
-    needed = concerned.groupBy("words").agg(F.min(F.struct("id", "h")).alias("row")).select("words", "row.id", "row.h")
+    # a row that has each node, pre-aggregated, so that many copies of a text are one row here
+    firsts = signed.groupBy("words").agg(F.min_by("id", "h").alias("id"), F.min("h").alias("h"))
+    needed = firsts.join(pairs.select(F.explode(F.array("words", "hub")).alias("words")).distinct(), "words", "left_semi")
     texts = runtime.written(texts_of(runtime.written(needed, "dedup-needed")), "dedup-texts")
     over = F.col("j") >= threshold - EPSILON
     links = runtime.written(_compared(pairs.select(F.col("words").alias("a"), F.col("hub").alias("b")), texts, words, by_count).where(over), "dedup-compared").select("a", "b")
