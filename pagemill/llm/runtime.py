@@ -101,6 +101,14 @@ def aside(columns: Iterable[str], made: Iterable[str]) -> dict[str, str]:
     return out
 
 
+def free(columns: Iterable[str], name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    own = {c.lower() for c in columns}
+    while name.lower() in own:
+        name = f"_{name}"
+    return name
+
+
 def beside(docs: DataFrame, made: Iterable[str]) -> list[Column]:
     """The columns of ``docs`` under the names of :func:`aside`."""
     return [docs[f"`{c}`"].alias(name) for c, name in aside(docs.columns, made).items()]
@@ -128,10 +136,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def broadcast(spark: SparkSession, value, size: int):
-    """Broadcast a value whose size in bytes is known and bounded."""
+def check_broadcast(size: int) -> None:
     if size > BROADCAST_LIMIT:
         raise ValueError(f"{size} bytes are too many to broadcast; the limit is {BROADCAST_LIMIT}")
+
+
+def broadcast(spark: SparkSession, value, size: int):
+    """Broadcast a value whose size in bytes is known and bounded."""
+    check_broadcast(size)
     return spark.sparkContext.broadcast(value)
 
 
