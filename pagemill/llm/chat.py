@@ -38,7 +38,7 @@ from pagemill.llm import byte_level, runtime
 OPEN, CLOSE = "### ", "</turn>\n"
 LOSS_ROLE = "assistant"
 #: Characters encoded at once, unless one conversation has more.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
 _ESCAPED = re.compile(r"[\\#<]")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 #: A turn in formatted text: in an escaped part, a backslash hides the character after it.
@@ -150,15 +150,24 @@ def format_chats(turns: DataFrame, tokenizer_json: str, key: str = "conv_id", tu
     return rows.mapInArrow(run, SCHEMA)
 
 
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    """An Arrow array of lists from arrays of numbers, without a Python object for each."""
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), kind))
+
+
 def _encoded(tok, held: list[tuple]) -> pa.RecordBatch:
-    out: list[tuple] = []
-    for (k, formatted, spans), e in zip(held, tok.encode_batch([x[1] for x in held], add_special_tokens=False), strict=True):
-        offsets = np.array(e.offsets, dtype=np.int32).reshape(-1, 2)
-        starts, ends = [s for s, _ in spans], [s for _, s in spans]
-        out.append((k, formatted, e.ids, token_mask(offsets, spans).tolist(), offsets[:, 0], offsets[:, 1], starts, ends))
-    ints = pa.list_(pa.int32())
-    kinds = [pa.int64(), pa.string(), ints, pa.list_(pa.bool_()), ints, ints, ints, ints]
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], SCHEMA.names)
+    ids, masks, offsets = [], [], []
+    for _, formatted, spans in held:  # one at a time: the library's result takes far more memory than these arrays
+        e = tok.encode(formatted, add_special_tokens=False)
+        ids.append(np.array(e.ids, dtype=np.int32))
+        offsets.append(np.array(e.offsets, dtype=np.int32).reshape(-1, 2))
+        masks.append(token_mask(offsets[-1], spans))
+    spans = [np.array(s, dtype=np.int32).reshape(-1, 2) for _, _, s in held]
+    ints = pa.int32()
+    columns = [pa.array([k for k, *_ in held], pa.int64()), pa.array([f for _, f, _ in held], pa.string()), _lists(ids, ints), _lists(masks, pa.bool_())]
+    columns += [_lists([o[:, i] for o in some], ints) for some in (offsets, spans) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays(columns, SCHEMA.names)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long, n_loss_tokens long"
