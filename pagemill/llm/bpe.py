@@ -1,12 +1,13 @@
 """BPE encoding and decoding by tree concatenation.
 
 A long text is halved, wherever the middle falls, until its pieces are short;
-the pieces are encoded on their own, and neighbours are joined level by level.
+the pieces are encoded on their own, by the library in parallel batches of
+bounded size, and neighbours are joined level by level.
 A join re-encodes a window around the cut: its left edge lies before a white
 space left of the cut, its right edge before one right of it. The window is
 accepted if its first and last tokens are those that the two sides hold there
 and what the sides hold between the edges and the cut is what they give alone;
-else it grows. Both edges are places where the vocabulary's encoding starts
+else it grows, up to the ends of both sides. Both edges are places where the vocabulary's encoding starts
 anew, so an accepted join equals the encoding of the whole exactly.
 
 One unbroken word may be long too. Its leaves are encoded by the library in
@@ -21,7 +22,8 @@ the vocabulary file the strings are joined by spaces, as the library does.
 
 Defined results: null and empty texts have no tokens and decode to the empty
 text. Added special tokens inside texts become their ids. Texts are encoded
-whole, whatever their length; null keys and extra columns pass through.
+whole, whatever their length; null keys and extra columns pass through. An extra
+column that is called like a result column has _input appended to its name.
 """
 
 from __future__ import annotations
@@ -41,11 +43,17 @@ from pagemill.llm import byte_level, runtime
 
 #: Longest text encoded without halving, and longest word.
 LEAF, WORD_LEAF = 4096, 256
-#: Characters at first, and at most, between a cut and an edge of its window.
-WINDOW, WIDEST = 32, 2048
+#: Characters at first between a cut and an edge of its window.
+WINDOW = 32
+#: Pieces of a text that the library encodes at once.
+AT_ONCE = 64
+
+#: The columns that encode() always makes.
+MADE = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 _FAST = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{byte_level.LETTER}]+|[{byte_level.NUMBER}]|[^\t\n\r {byte_level.LETTER}{byte_level.NUMBER}]+")
-_SPACE = re.compile("[ \n\t\r]")
+_SPACES = " \n\t\r"
+_SPACE = re.compile(f"[{_SPACES}]")
 
 
 class Encoder:
@@ -132,14 +140,15 @@ class Encoder:
     def _edge(self, text: str, near: int, far: int, last: bool) -> int | None:
         """A place before a white space between two places: the last or the first."""
         if last:
-            return next((i for i in range(far - 1, near - 1, -1) if text[i] in " \n\t\r"), None)
+            found = max(text.rfind(c, near, far) for c in _SPACES)
+            return None if found < 0 else found
         found = _SPACE.search(text, near, far)
         return found.start() if found else None
 
-    def _join(self, text: str, start: int, cut: int, end: int, a: list[int], b: list[int]) -> list[int] | None:
-        """The tokens of text[start:end] from those of both sides of the cut, or None if no window does."""
+    def _join(self, text: str, start: int, cut: int, end: int, a: list[int], b: list[int]) -> list[int]:
+        """The tokens of text[start:end] from those of both sides of the cut."""
         width = self.window
-        while width <= WIDEST:
+        while True:
             lo = self._edge(text, max(start, cut - 2 * width), max(start, cut - width), True)
             hi = self._edge(text, min(end, cut + width), min(end, cut + 2 * width), False)
             lo = start if lo is None and cut - 2 * width <= start else lo
@@ -149,29 +158,42 @@ class Encoder:
                 held = a[len(a) - len(tail) :] == tail and b[: len(head)] == head
                 left_ok = lo == start or (tail and whole and whole[0] == tail[0])
                 right_ok = hi == end or (head and whole and whole[-1] == head[-1])
-                if held and left_ok and right_ok:
-                    return [*a[: len(a) - len(tail)], *whole, *b[len(head) :]]
+                if (held and left_ok and right_ok) or (lo == start and hi == end):
+                    return [*a[: len(a) - len(tail)], *whole, *b[len(head) :]] if held else whole
             width *= 2
-        return None
 
-    def tree(self, text: str, start: int, end: int) -> list[int]:
-        if end - start <= self.leaf:
-            return self.flat(text[start:end])
-        cut = (start + end) // 2
-        joined = self._join(text, start, cut, end, self.tree(text, start, cut), self.tree(text, cut, end))
-        return self.flat(text[start:end]) if joined is None else joined
+    def _leaves(self, text: str) -> list[tuple[int, int, list[int]]]:
+        """The pieces of a text, halved until they are short, with their tokens."""
+        bounds = [(0, len(text))]
+        while bounds[0][1] - bounds[0][0] > self.leaf:
+            bounds = [half for a, b in bounds for half in ((a, (a + b) // 2), ((a + b) // 2, b))]
+        out = []
+        for i in range(0, len(bounds), AT_ONCE):
+            some = bounds[i : i + AT_ONCE]
+            made = self.tok.encode_batch([text[a:b] for a, b in some], add_special_tokens=False)
+            out += [(a, b, e.ids) for (a, b), e in zip(some, made, strict=True)]
+        return out
+
+    def tree(self, text: str) -> list[int]:
+        """The tokens of a text without added special tokens."""
+        if len(text) <= self.leaf:
+            return self.flat(text)
+        parts = self._leaves(text)
+        while len(parts) > 1:
+            parts = [(a, d, self._join(text, a, b, d, x, y)) for (a, b, x), (_, d, y) in zip(parts[::2], parts[1::2], strict=True)]
+        return parts[0][2]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         if self.special is None or not self.special.search(text):
-            return self.tree(text, 0, len(text))
+            return self.tree(text)
         out: list[int] = []
         for k, part in enumerate(self.special.split(text)):
             if k % 2:
                 out.append(self.special_ids[part])
             elif part:
-                out += self.tree(part, 0, len(part))
+                out += self.tree(part)
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -185,10 +207,11 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep: list[
     spark = docs.sparkSession
     runtime.bound_batches(spark)
     shared = runtime.broadcast(spark, tokenizer_json, len(tokenizer_json))
-    kept = docs.select(*(keep or [docs[f"`{c}`"] for c in docs.columns]), docs[text].alias("__text"))
+    made = (*MADE, *["token_ids"] * with_ids, *["decoded"] * with_text)
+    kept = docs.select(*(keep or runtime.beside(docs, made)), docs[f"`{text}`"].alias(runtime.free(docs.columns, "__text")))
     names = kept.columns[:-1]
     extra = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), *[("token_ids", T.ArrayType(T.IntegerType()))] * with_ids, *[("decoded", "string")] * with_text]
-    schema = kept.drop("__text").schema
+    schema = T.StructType(kept.schema.fields[:-1])
     for name, kind in extra:
         schema = schema.add(name, kind)
 
