@@ -10,8 +10,11 @@ batch), gathers their rows of the matrix and sums them by text.
 Defined results: null texts, and texts without a letter, give ``und`` with
 score 0. Texts of any length are scored whole, in slices. Rows with a null key
 are scored like others. Ties go to the language first in alphabetical order.
-With no labelled row at all every text is ``und``. Columns besides the key and
-the text are not read.
+With no labelled row at all every text is ``und``. All languages have the same
+prior. An extra column that is called lang_pred or score becomes lang_pred_input
+or score_input; others pass through. Languages are as many as there are: their
+counts are summed in groups of bounded size, and the matrix, buckets x languages,
+is refused only where it is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -25,10 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm import runtime
 
 UNDETERMINED = "und"
+#: The columns that predict() makes.
+MADE = ("lang_pred", "score")
+#: Languages whose counts come to the driver at once.
+AT_ONCE = 64
 #: Most characters scored at once.
 SLICE = 1 << 18
 _SPACE = 32
@@ -127,7 +135,7 @@ def score_texts(texts: list[str | None], model: Model) -> tuple[list[str], np.nd
     return [model.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, smoothing: float = 0.1, per_language: int = 3000, most_languages: int = 512) -> Model:
+def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", orders: tuple[int, ...] = (1, 2, 3), bits: int = 16, smoothing: float = 0.1, per_language: int = 3000) -> Model:
     """Fit on about ``per_language`` rows of each language at most, chosen by a hash of their keys.
 
     That bound is a parameter of the classifier alone; nothing else samples.
@@ -135,11 +143,12 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     spark = labelled.sparkSession
     runtime.bound_batches(spark)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    n_rows = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
-    if len(n_rows) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    languages = tuple(sorted(n_rows))
     n_buckets = 1 << bits
+    room = runtime.BROADCAST_LIMIT // (4 * n_buckets)
+    n_rows = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(room + 1).collect()}
+    if len(n_rows) > room:
+        raise ValueError(f"a matrix of more than {room} languages is too large to broadcast; use fewer bits")
+    languages = tuple(sorted(n_rows))
     if not languages:
         return Model((), np.zeros((n_buckets, 0), np.float32), np.zeros(0), orders)
     share = F.create_map(*[x for name, n in n_rows.items() for x in (F.lit(name), F.lit(min(1.0, per_language / n)))])
@@ -161,11 +170,14 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
             (at,) = into.nonzero()
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(into[at])], ["l", "bucket", "n"])
 
-    counted = rows.where(chosen).select("l", "t").mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros((n_buckets, len(languages)))
-    at = {name: i for i, name in enumerate(languages)}
-    counts[counted["bucket"].to_numpy(np.int64), counted["l"].map(at).to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
-    log_prob = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * n_buckets)).astype(np.float32)
+    log_prob = np.zeros((n_buckets, len(languages)), dtype=np.float32)
+    for i in range(0, len(languages), AT_ONCE):
+        some = languages[i : i + AT_ONCE]
+        counted = rows.where(chosen & F.col("l").isin(*some)).select("l", "t").mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        counts = np.zeros((n_buckets, len(some)))
+        at = {name: k for k, name in enumerate(some)}
+        counts[counted["bucket"].to_numpy(np.int64), counted["l"].map(at).to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
+        log_prob[:, i : i + len(some)] = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * n_buckets))
     return Model(languages, log_prob, np.full(len(languages), -np.log(len(languages))), orders)
 
 
@@ -174,15 +186,15 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[Column
     spark = docs.sparkSession
     runtime.bound_batches(spark)
     shared = runtime.broadcast(spark, model, model.log_prob.nbytes)
-    kept = docs.select(*(keep or [F.col(f"`{c}`") for c in docs.columns]), F.col(text).alias("__text"))
+    kept = docs.select(*(keep or runtime.beside(docs, MADE)), docs[f"`{text}`"].alias(runtime.free(docs.columns, "__text")))
     names = kept.columns[:-1]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred, value = score_texts(batch.column(len(names)).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(value)], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(value)], [*names, *MADE])
 
-    schema = kept.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = T.StructType(kept.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
     return kept.mapInArrow(score, schema)
 
 

@@ -13,13 +13,16 @@ here, the texts of the folder license_texts, and the usual forms of both
 Parts of texts, and texts with names filled in elsewhere than in a copyright line,
 are not known. Their digests are made by
 the same expression, grouped by digest, and broadcast only if their number, which
-is counted, is below a bound; the sides are joined by shuffle otherwise, with
-copies of a text pre-aggregated by digest so that a hot text is one row.
+is counted, is below a bound. Otherwise the known digests are first cut down to
+those that occur, which pre-aggregates the documents' digests, and then joined by a
+plain shuffle join, whose hot digests Spark splits; rows without a digest are not
+part of it.
 
 Defined results: a null text has a null digest and no licence; so has a text
 whose canonical form is empty. Licences of one canonical form give the ids of
 all, sorted and joined by " OR ". Repeated rows and null keys give a row each.
-Texts are digested whole. Extra columns pass through.
+Texts are digested whole. Extra columns pass through; one that is called
+license_digest or license_id has _input appended to its name.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from importlib import resources
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.llm import runtime
+
 BROADCAST_ROWS = 100_000
 
 # Equivalent spellings, the second of each pair is canonical.
@@ -188,9 +193,13 @@ def scan(docs: DataFrame, licenses: DataFrame, text: str = "text", broadcast_row
     ids = licenses.select(digest(F.col("text")).alias("__known"), "license_id").where(F.col("__known").isNotNull())
     ids = ids.groupBy("__known").agg(F.array_join(F.array_sort(F.collect_set("license_id")), " OR ").alias("__license"))
     few = licenses.limit(broadcast_rows + 1).count() <= broadcast_rows
-    own = docs.withColumn("__canonical", canonical(F.col(f"`{text}`")))
-    own = own.withColumn("__digest", F.when(F.col("__canonical") != "", F.sha2("__canonical", 256))).drop("__canonical")
-    if not few:  # only digests that occur are joined, a row each
-        ids = ids.join(own.select(F.col("__digest").alias("__known")).where("__known is not null").distinct(), "__known")
-    joined = own.join(F.broadcast(ids) if few else ids, F.col("__digest") == F.col("__known"), "left")
-    return joined.select(*[own[f"`{c}`"] for c in docs.columns], F.col("__digest").alias("license_digest"), F.col("__license").alias("license_id"))
+    own = runtime.packed(docs, __canonical=canonical(F.col(f"`{text}`")))
+    own = own.select("__row", F.when(F.col("__canonical") != "", F.sha2("__canonical", 256)).alias("__digest"))
+    made = ("license_digest", "license_id")
+    result = [*runtime.unpacked(docs.columns, made), F.col("__digest").alias(made[0]), F.col("__license").alias(made[1])]
+    same = F.col("__digest") == F.col("__known")
+    if few:
+        return own.join(F.broadcast(ids), same, "left").select(*result)
+    occurring = own.where("__digest is not null").select(F.col("__digest").alias("__known")).distinct()
+    joined = own.where("__digest is not null").join(ids.join(occurring, "__known"), same, "left").select(*result)
+    return joined.unionAll(own.where("__digest is null").withColumn("__license", F.lit(None).cast("string")).select(*result))

@@ -24,8 +24,9 @@ last match, which changes no match and keeps them linear on long runs.
 
 Defined results: null texts are empty and have no spans. Positions are code
 points, ends exclusive. Spans are listed by kind, then start, then end; equal
-spans are listed once. Texts are read whole. Extra columns pass through, and
-the columns made here are prefixed until the end, so names do not clash.
+spans are listed once. Texts are read whole. Extra columns pass through; one that
+is called like a result column (n_email, base_spans, pii_spans and so on) has
+_input appended to its name and keeps its values.
 """
 
 from __future__ import annotations
@@ -37,9 +38,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import boosting
+from pagemill.llm import boosting, runtime
 
 KINDS = ("email", "ip", "card", "phone")
+#: The columns that find() makes.
+MADE = (*[f"n_{k}" for k in KINDS], "base_spans", "pii_spans")
 TRAINING_ROWS = 6000
 PRECISION = 0.98
 CONTEXT = 24
@@ -189,11 +192,10 @@ def _proposed(text: Column, pattern: str, kind: str) -> tuple[Column, Column]:
     return F.when(possible, F.split(text, pattern, -1)).otherwise(none), F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none)
 
 
-def candidates(df: DataFrame, text: Column) -> DataFrame:
-    """``df`` with __base (base spans by kind) and __more (candidates of the generators), as arrays."""
+def candidates(df: DataFrame) -> DataFrame:
+    """``df``, whose __text has no null, with __base (base spans by kind) and __more (candidates of the generators), as arrays, in place of the text."""
     wanted = [(kind, f"__b_{kind}", BASE[kind]) for kind in KINDS]
     wanted += [(kind, f"__g{i}_{kind}", p) for kind in KINDS for i, p in enumerate(GENERATORS[kind])]
-    df = df.withColumn("__text", F.coalesce(text, F.lit("")))
     split = {}
     for kind, name, pattern in wanted:
         split[f"{name}_gaps"], split[f"{name}_hits"] = _proposed(F.col("__text"), pattern, kind)
@@ -271,7 +273,7 @@ def find(docs: DataFrame, text: str = "text", training_rows: int = TRAINING_ROWS
     model, thresholds = _fitted(training_rows, precision)
     margin = model.sql([f"c.f.{name}" for name in FEATURES])
     limits = "CASE c.kind " + " ".join(f"WHEN '{k}' THEN {t!r}D" for k, t in zip(KINDS, thresholds, strict=True)) + " END"
-    df = candidates(docs, F.col(f"`{text}`"))
+    df = candidates(runtime.packed(docs, __text=F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     df = df.withColumn("__more", F.transform("__more", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), features(x).alias("f"))))
     df = df.withColumn("__more", F.expr(f"transform(__more, c -> struct(c.kind as kind, c.start as start, c.end as end, 1 / (1 + exp(-{margin})) as probability))"))
     df = df.withColumn("__more", F.expr(f"filter(__more, c -> c.probability >= {limits})"))
@@ -279,8 +281,8 @@ def find(docs: DataFrame, text: str = "text", training_rows: int = TRAINING_ROWS
     df = df.withColumns({"__base": F.transform("__base", plain), "__more": F.transform("__more", plain)})
     by_kind = lambda spans: F.flatten(F.array(*[F.array_sort(F.filter(spans, _of_kind(k))) for k in KINDS]))
     df = df.withColumn("__all", F.array_distinct(F.concat("__base", "__more")))
-    named = {**{f"n_{k}": F.col(f"__n_{k}") for k in KINDS}, "base_spans": by_kind(F.col("__base")), "pii_spans": by_kind(F.col("__all"))}
-    return df.withColumns(named).drop("__base", "__more", "__all", *[f"__n_{k}" for k in KINDS])
+    counts = [F.col(f"__n_{k}").alias(f"n_{k}") for k in KINDS]
+    return df.select(*runtime.unpacked(docs.columns, MADE), *counts, by_kind(F.col("__base")).alias("base_spans"), by_kind(F.col("__all")).alias("pii_spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -290,8 +292,8 @@ def listed(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
     """``docs`` with every span of the text replaced by the kind of the first span of its run in angle brackets; overlapping spans are one run."""
-    ordered = F.array_sort(F.transform(F.col(spans), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    df = docs.withColumn("__o", ordered)
+    ordered = F.array_sort(F.transform(F.col(f"`{spans}`"), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    df = runtime.packed(docs, __o=ordered, __text=F.col(f"`{text}`"))
     # the furthest end so far, by doubling maxima: a span starts a run if it lies behind all before it
     ends = F.transform("__o", lambda x: x["end"])
     steps = F.when(F.size(ends) > 1, F.sequence(F.lit(0), F.floor(F.log2(F.size(ends))).cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -302,7 +304,7 @@ def redact(docs: DataFrame, text: str = "text", spans: str = "pii_spans") -> Dat
 
     df = df.withColumn("__e", F.aggregate(steps, ends, furthest))
     df = df.withColumn("__first", F.filter(F.transform("__o", lambda x, i: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get("__e", i - 1)).alias("from"), (F.coalesce(F.get("__e", i - 1), F.lit(-1)) <= x["start"]).alias("new"))), lambda x: x["new"]))
-    body = F.transform("__first", lambda x: F.concat(F.substring(F.col(text), (x["from"] + 1).cast("int"), (x["start"] - x["from"]).cast("int")), F.lit("<"), x["kind"], F.lit(">")))
-    rest = F.substring(F.col(text), (F.array_max("__e") + 1).cast("int"), F.length(text))
-    redacted = F.when(F.coalesce(F.size("__o"), F.lit(0)) > 0, F.concat(F.array_join(body, ""), rest)).otherwise(F.col(text))
-    return df.withColumn(text, redacted).drop("__o", "__e", "__first")
+    body = F.transform("__first", lambda x: F.concat(F.substring(F.col("__text"), (x["from"] + 1).cast("int"), (x["start"] - x["from"]).cast("int")), F.lit("<"), x["kind"], F.lit(">")))
+    rest = F.substring(F.col("__text"), (F.array_max("__e") + 1).cast("int"), F.length("__text"))
+    redacted = F.when(F.coalesce(F.size("__o"), F.lit(0)) > 0, F.concat(F.array_join(body, ""), rest)).otherwise(F.col("__text"))
+    return df.select(*[redacted.alias(c) if c == text else F.col("__row").getField(c).alias(c) for c in docs.columns])

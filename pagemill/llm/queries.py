@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +57,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base, spans = pii.listed(F.col("base_spans")), pii.listed(F.col("pii_spans"))
-    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), F.size("pii_spans").cast("long").alias("n_spans"))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +95,5 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_minhash": op9_minhash,
     "op10_chat": op10_chat,
-    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {"op4_licenses": op4_sql()}

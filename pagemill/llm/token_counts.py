@@ -8,7 +8,8 @@ the library's model and remembered in a memo of bounded size.
 
 Defined results: null and empty texts have 0 tokens. Added special tokens
 inside texts count 1 each, as is the library's default. Texts are counted
-whole, whatever their length. Null keys and extra columns pass through.
+whole, whatever their length. Null keys and extra columns pass through; one that
+is called like a result column has _input appended to its name.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagemill.llm import byte_level, runtime
 
+#: The columns that count_tokens() makes.
+MADE = ("n_bytes", "n_tokens", "over_limit")
+
 _FAST = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{byte_level.LETTER}]+| ?[{byte_level.NUMBER}]+| ?[^\t\n\r {byte_level.LETTER}{byte_level.NUMBER}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+"
 )
@@ -75,8 +80,8 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, text: str = "text", keep:
     runtime.bound_batches(spark)
     proven = prove_whole_tokens(tokenizer_json)
     shared = runtime.broadcast(spark, (tokenizer_json, proven), len(tokenizer_json) + sum(map(len, proven)))
-    content = F.coalesce(F.col(text), F.lit(""))
-    kept = docs.select(*(keep or [F.col(f"`{c}`") for c in docs.columns]), F.octet_length(content).cast("long").alias("n_bytes"), content.alias("__text"))
+    content = F.coalesce(docs[f"`{text}`"], F.lit(""))
+    kept = docs.select(*(keep or runtime.beside(docs, MADE)), F.octet_length(content).cast("long").alias("n_bytes"), content.alias(runtime.free(docs.columns, "__text")))
     names = kept.columns[:-1]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,5 +90,5 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, text: str = "text", keep:
             n = pa.array([counter.count(x) for x in batch.column(len(names)).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], [*names, "n_tokens"])
 
-    schema = kept.drop("__text").schema.add("n_tokens", "long")
+    schema = T.StructType(kept.schema.fields[:-1]).add("n_tokens", "long")
     return kept.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

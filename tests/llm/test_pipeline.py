@@ -73,13 +73,25 @@ def test_odd_rows(spark):
     docs = spark.createDataFrame([(*r, "s", 3, "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, class_id_ string")
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
-    assert [r.doc_id for r in docs.collect()] == [1]
+    # a row without a key is kept as any other that is the one of its class
+    assert sorted(str(r.doc_id) for r in docs.collect()) == ["1", "None"]
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
 
 
+def test_clashing_columns(spark):
+    """Columns called like what the stages make come through all of them unchanged."""
+    made = ["lang_pred", "score", "class_id", "n_email", "base_spans", "pii_spans", "__text"]
+    docs = spark.createDataFrame([(1, "the rest of it was here, mail a.b@mail.example and then", "en", "s", 3, *"abcdefg")], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in made))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert [tuple(r[c] for c in made) for r in docs.collect()] == [tuple("abcdefg")]
+    assert "<email>" in docs.first().text
+    assert corpus_pipeline.encode(spark, docs, SF).count() == 1
+
+
 def test_no_class_vanishes_under_repeated_keys(spark):
     rows = [(1, "the first of them"), (5, "the first of them"), (5, "the other was here"), (7, "the other was here"), (7, "and this is a third one")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
