@@ -14,19 +14,17 @@ from pyspark.sql import functions as F
 from pagemill.llm import bpe, decontaminate, language_id, minhash, pii, runtime
 
 WORD_VOCABULARY = "word_bpe_49k.json"
-#: Posterior below which a text's language counts as unknown.
-LEAST_SCORE = 0.5
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is known: not null texts, texts without a letter, or texts that no language explains."""
+    """Rows whose language is known: not null texts, nor texts without a letter. Whatever has a letter gets a language and stays, as any script may be clean text."""
     model = language_id.fit(docs.where(~language_id.held_out()))
-    scored = language_id.predict(docs, model)
-    return scored.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    known = language_id.predict(docs, model).where(F.col("lang_pred") != language_id.UNDETERMINED)
+    return runtime.restored(known, docs.columns, language_id.MADE)
 
 
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class of near duplicates: the one with the smallest key. A repeated key keeps each of its texts that stands for a class. Rows without a key go."""
+    """One row of each class of near duplicates: the one with the smallest key. A repeated key keeps each of its texts that stands for a class; rows without a key stand for the classes that no row with a key is in."""
     return minhash.one_of_each_class(docs)
 
 
@@ -40,7 +38,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     out = pii.redact(pii.find(docs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return runtime.restored(out, docs.columns, pii.MADE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over the documents, each on all that the one before kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = runtime.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), STAGES[-1][0]
+    with runtime.scope(spark):
+        for name, stage in STAGES:
+            docs = runtime.written(stage(spark, docs, sf_dir), f"pipeline-{name}", lasting=name == last)
     return docs
