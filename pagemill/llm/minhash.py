@@ -465,7 +465,7 @@ def _classes(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], word
     pairs = runtime.written(_met(signed), "dedup-pairs")
     # a row that has each node, pre-aggregated, so that many copies of a text are one row here
     firsts = signed.groupBy("words").agg(F.min_by("id", "h").alias("id"), F.min("h").alias("h"))
-    needed = firsts.join(pairs.select(F.explode(F.array("words", "hub")).alias("words")).distinct(), "words", "left_semi")
+    needed = firsts.join(pairs.select(F.explode(F.array("words", "hub")).alias("words")).distinct(), "words")  # a semi-join would be pushed below the aggregation
     texts = runtime.written(texts_of(runtime.written(needed, "dedup-needed")), "dedup-texts")
     over = F.col("j") >= threshold - EPSILON
     links = runtime.written(_compared(pairs.select(F.col("words").alias("a"), F.col("hub").alias("b")), texts, words, by_count).where(over), "dedup-compared").select("a", "b")
