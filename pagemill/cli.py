@@ -29,6 +29,9 @@ def parser() -> argparse.ArgumentParser:
     convert.add_argument("--preset", choices=tuple(sizing.PRESETS), default="default")
     convert.add_argument("--password")
     convert.add_argument("--resume", action="store_true")
+    convert.add_argument("--threads", type=int, help="tables that land at once")
+    convert.add_argument("--schema-only", action="store_true", help="write empty tables and their SQL statements")
+    convert.add_argument("--permissive", action="store_true", help="skip and count what is damaged")
     reverse = sub.add_parser("reverse", help="a SQLite file to databases")
     reverse.add_argument("input")
     reverse.add_argument("output")
@@ -55,13 +58,17 @@ def main(argv: list[str] | None = None) -> int:
         if bad or archives and len(good) > 1:
             print(f"cannot read {', '.join(bad)}" if bad else "an archive is converted alone", file=sys.stderr)
             return 1
-        sizing.policy(args.preset).apply(spark)
+        policy = sizing.policy(args.preset)
+        policy.apply(spark)
         if args.batch_size:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(args.batch_size))
         options = {"password": args.password} if args.password else {}
-        done = landing.land(spark, ",".join(good), args.output, args.strategy or ("extension" if len(good) > 1 or archives else "plain"), resume=args.resume, **options)
+        options |= {"mode": "PERMISSIVE", "recover": "true"} if args.permissive else {}
+        done = landing.land(spark, ",".join(good), args.output, args.strategy or ("extension" if len(good) > 1 or archives else "plain"), resume=args.resume, policy=policy, threads=args.threads, schema_only=args.schema_only, **options)
         for name, n in done.tables.items():
             print(f"{name}: {n} rows")
+        for name, n in done.damaged.items():
+            print(f"{name}: {n} damaged pages and records", file=sys.stderr)
         for name, error in done.errors:
             print(f"{name}: {error}", file=sys.stderr)
         return 0 if done.success else 1

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.operators.profile import profile
+from pagemill.operators.profile import NUMERIC, profile
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -131,3 +132,79 @@ def overlap_pairs(spans: DataFrame, key: str, start: str, end: str, width: int)
     a, b = (cells_.select("cell", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "s", "e")]) for side in "ab")
     first = F.col("cell") == F.floor(F.greatest("s_a", "s_b") / width)
     return a.join(b, "cell").where((F.col("k_a") < F.col("k_b")) & (F.col("s_a") < F.col("e_b")) & (F.col("s_b") < F.col("e_a")) & first).select("k_a", "k_b")
+
+
+def checksums(tables: dict[str, DataFrame]) -> DataFrame:
+    """table_name, row_count and a checksum of the rows of each table, the same in whatever order and partitions they come."""
+
+    def one(name: str, df: DataFrame) -> DataFrame:
+        total = F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(20,0)"))
+        return df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(total, F.lit(0)).cast("decimal(38,0)").alias("checksum")).select(F.lit(name).alias("table_name"), "row_count", "checksum")
+
+    return reduce(DataFrame.unionAll, [one(name, df) for name, df in tables.items()])
+
+
+def violations(df: DataFrame, unique: list[str] = (), required: list[str] = (), rules: dict[str, str] | None = None) -> DataFrame:
+    """rule and n: rows beyond the first of a repeated key, nulls in required columns, and rows that break a rule, a SQL condition; null conditions are not broken."""
+    parts = []
+    if unique:
+        repeats = df.groupBy(*[F.col(f"`{c}`") for c in unique]).agg(F.count(F.lit(1)).alias("__n"))
+        parts.append(repeats.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n")).select(F.lit(f"unique {', '.join(unique)}").alias("rule"), "n"))
+    checks = [(f"required {c}", F.col(f"`{c}`").isNull()) for c in required] + [(name, ~F.expr(rule)) for name, rule in (rules or {}).items()]
+    if checks:
+        counted = df.agg(*[F.struct(F.lit(name).alias("rule"), F.count_if(F.coalesce(broken, F.lit(False))).alias("n")).alias(f"c{i}") for i, (name, broken) in enumerate(checks)])
+        parts.append(counted.select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(checks))]))))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "rule string, n long")
+    return reduce(DataFrame.unionAll, parts)
+
+
+def anomalies(df: DataFrame, columns: list[str], deviations: float = 3.0) -> DataFrame:
+    """column_name, low, high and n: how many values lie further from the mean than so many standard deviations. Means and deviations are pre-aggregated and joined as one row."""
+    stats = df.agg(*[f(F.col(f"`{c}`")).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    bounds = [(f"m{i}", f"s{i}") for i in range(len(columns))]
+    row = stats.first()
+    parts = []
+    for c, (m, s) in zip(columns, bounds, strict=True):
+        mean, spread = row[m], row[s]
+        low, high = (None, None) if mean is None else (mean - deviations * spread, mean + deviations * spread)
+        outside = F.lit(False) if mean is None else ~F.col(f"`{c}`").between(F.lit(low), F.lit(high))
+        parts.append(F.struct(F.lit(c).alias("column_name"), F.lit(low).cast("double").alias("low"), F.lit(high).cast("double").alias("high"), F.count_if(F.coalesce(outside, F.lit(False))).alias("n")))
+    return df.agg(*[p.alias(f"c{i}") for i, p in enumerate(parts)]).select(F.inline(F.array(*[F.col(f"c{i}") for i in range(len(parts))])))
+
+
+def distribution(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.0, 0.25, 0.5, 0.75, 1.0), accuracy: int = 100_000) -> DataFrame:
+    """column_name, share and value: quantiles of each column, from a sketch of fixed size, exact up to 1 / accuracy of the rows."""
+    quantiles = [F.percentile_approx(F.col(f"`{c}`").cast("double"), list(shares), accuracy).alias(f"q{i}") for i, c in enumerate(columns)]
+
+    def named(column: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(column).alias("column_name"), x["share"].alias("share"), x["value"].alias("value"))
+
+    share = F.array(*map(F.lit, shares)).alias("share")
+    pairs = F.flatten(F.array(*[F.transform(F.arrays_zip(share, F.col(f"q{i}").alias("value")), named(c)) for i, c in enumerate(columns)]))
+    return df.agg(*quantiles).select(F.inline(pairs))
+
+
+def common_fields(fields: DataFrame, table: str = "table_name", field: str = "field_name") -> DataFrame:
+    """table_a, table_b and their common fields, for each pair of tables that share one. Pairs come from the names that tables share."""
+    own = fields.select(F.col(table).alias("t"), F.col(field).alias("f")).distinct()
+    a, b = own.withColumnRenamed("t", "table_a"), own.withColumnRenamed("t", "table_b")
+    return a.join(b, "f").where("table_a < table_b").groupBy("table_a", "table_b").agg(F.array_sort(F.collect_set("f")).alias("common_fields"))
+
+
+def relations(catalog: DataFrame, fields: DataFrame, over: float = 0.5) -> dict[str, DataFrame]:
+    """How files hang together: tables that several files have, files with similar tables, and tables with common fields."""
+    return {
+        "table_overlaps": shared_tables(catalog, "source_file", "table_name"),
+        "schema_similarities": file_similarity(catalog, "source_file", "table_name", over),
+        "data_relationships": common_fields(fields),
+    }
+
+
+def check_values(df: DataFrame, keys: list[str] = (), required: list[str] = (), rules: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """All checks of one table's values: checksum, nulls, broken rules, values far from the mean, distribution."""
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC) and f.name not in keys]
+    out = {"data_checksums": checksums({"table": df}), "null_value_analysis": null_ratio(df, df.columns), "constraint_violations": violations(df, list(keys), list(required), rules)}
+    if numbers:
+        out |= {"anomaly_detection": anomalies(df, numbers), "data_distribution": distribution(df, numbers)}
+    return out

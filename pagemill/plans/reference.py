@@ -280,12 +280,6 @@ def array_unnest(spark, d):
     return rows.select("vec_id", F.col("place").cast("long").alias("place"), F.col("x").cast("double").alias("x"))
 
 
-@query("SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN (SELECT doc_id, min(quality) AS quality, min(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)")
-def memo_join(spark, d):
-    first = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("toxic").alias("toxic"))
-    return table(spark, d, "documents").select("doc_id", "lang").join(first, "doc_id", "left")
-
-
 SIZES = "(SELECT doc_id, n_chars, (n_chars % 250)::INT AS f FROM documents)"
 
 
@@ -323,17 +317,6 @@ def streaming_flag(spark, d):
     return table(spark, d, "documents").select("doc_id", sizing.use_streaming(n, n % 3000, n % 250).alias("streams"))
 
 
-@query("SELECT event_type, priority, count(*) AS n FROM (SELECT event_type, user_id % 4 AS priority FROM events) GROUP BY GROUPING SETS ((event_type), (priority))")
-def error_summary(spark, d):
-    rows = table(spark, d, "events").select("event_type", (F.col("user_id") % 4).alias("priority"))
-    return rows.groupingSets([["event_type"], ["priority"]], "event_type", "priority").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 10")
-def last_errors(spark, d):
-    return table(spark, d, "events").select("event_id", "event_type").orderBy(F.desc("event_id")).limit(10)
-
-
 @query("SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 100")
 def sample_rows(spark, d):
     return table(spark, d, "part").select("p_partkey", "p_name").orderBy("p_partkey").limit(100)
@@ -349,8 +332,3 @@ def best_by(spark, d):
 def compact_json(spark, d):
     made = table(spark, d, "part").select("p_partkey", F.from_json(decode.compact_json(F.col("p_name").cast("binary"), "part"), "data string, size long, `table` string, first string").alias("j"))
     return made.select("p_partkey", "j.data", "j.size", F.col("j.table").alias("table_name"), "j.first")
-
-
-@query("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
-def catalog_totals(spark, d):
-    return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))

@@ -2,100 +2,177 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+import threading
+import time
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import suppress
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import count, islice
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.codec import files
 from pagemill.codec.types import DEFAULT_ENCODING, FieldDef, MemoDef, TableDef
-from pagemill.operators import naming
+from pagemill.operators import ddl, naming, sizing
+from pagemill.operators.errors import ErrorLog, TooManyErrors, last, summary
+from pagemill.sinks import store
 from pagemill.sources import read
+from pagemill.sources.tps import source_name
+
+MANIFEST = "_landed.json"
+SCHEMA_SCRIPT = "_schema.sql"
 
 
 @dataclass
 class Landed:
-    """What a landing did: tables with their rows, and errors of tables that failed."""
+    """What a landing did: tables with their rows, rows and pages that could not be read whole, and errors of tables that failed."""
 
     tables: dict[str, int] = field(default_factory=dict)
     errors: list[tuple[str, str]] = field(default_factory=list)
     skipped: list[str] = field(default_factory=list)
+    damaged: dict[str, int] = field(default_factory=dict)
+    files: int = 0
+    seconds: float = 0.0
+    log: ErrorLog = field(default_factory=ErrorLog)
 
     @property
     def success(self) -> bool:
         return not self.errors
 
-    def errors_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.errors, "table_name string, error string")
+    @property
+    def partial(self) -> bool:
+        """Whether some tables landed and others did not."""
+        return bool(self.errors) and bool(self.tables)
 
+    @property
+    def totals(self) -> dict[str, float]:
+        rows = sum(n for n in self.tables.values() if n > 0)
+        return {"files": self.files, "tables": len(self.tables), "records": rows, "errors": len(self.errors), "damaged": sum(self.damaged.values()), "seconds": self.seconds, "records_per_second": rows / self.seconds if self.seconds else 0.0}
 
-def ddl(schema: T.StructType, table: str) -> str:
-    """A CREATE TABLE statement."""
-    return f"CREATE TABLE `{table}` ({', '.join(f'`{f.name}` {f.dataType.simpleString().upper()}' for f in schema)})"
+    def errors_frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.errors, "table_name string, error string")
 
 
 def plan_names(found: dict[tuple[str, str], TableDef], strategy: str) -> dict[str, list[tuple[str, str]]]:
     """Target names and the (file, table) that go there. Tables of one target are united."""
-    sources = list(dict.fromkeys(s for s, _ in found))
+    sources = {s: n for n, s in enumerate(dict.fromkeys(s for s, _ in found), 1)}
     out: dict[str, list[tuple[str, str]]] = {}
     for source, table in found:
-        n = sources.index(source) + 1
+        n = sources[source]
         prefix = {"plain": "", "extension": naming.file_prefix(source.rpartition("!")[2], n), "prefix": f"file_{n}_", "namespace": f"db_{n}_", "separate": ""}[strategy]
         out.setdefault(prefix + naming.sanitize_table(table), []).append((source, table))
     return out
 
 
+def _write(df: DataFrame, path: str) -> int:
+    """Write a table as Parquet and return its rows, counted as they are written."""
+    counted = Observation()
+    df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
+    return counted.get["n"]
+
+
 def land(
     spark: SparkSession,
     path: str,
     out_dir: str,
     strategy: str = "plain",
     resume: bool = False,
-    max_errors: int = 100,
+    max_errors: int | None = None,
     progress: Callable[[int, int, str], None] | None = None,
     write: Callable[[DataFrame, str], None] | None = None,
+    policy: sizing.Policy = sizing.DEFAULT,
+    threads: int | None = None,
+    schema_only: bool = False,
     **options,
 ) -> Landed:
     """Write every table of the databases at a path to ``out_dir``/<name> as Parquet.
 
-    A table that fails does not stop the others, up to ``max_errors``. A manifest
-    of finished tables lets a later call with ``resume`` skip them. Tables of
-    several files with one target name are united by column name, with
-    ``_source_file`` telling them apart.
+    Files are decoded for their catalogs once. Tables land as concurrent Spark jobs
+    on ``threads`` threads (the policy's number, if not given), each in as many tasks
+    as it has chunks of pages. A table that fails is tried again as the log's
+    strategies say, and does not stop the others, up to ``max_errors``; then what
+    has not begun does not begin. A manifest of finished tables lets a later call
+    with ``resume`` skip them; it is kept by the output, on any file system. Tables
+    of several files with one target name are united by column name, with
+    ``_source_file`` telling them apart. With the option mode=PERMISSIVE, what a
+    table lost to damage is counted. ``schema_only`` writes empty tables.
     """
-    keys = {"password": options.get("password"), "recover": str(options.get("recover", "false")).lower() == "true"}
-    targets = plan_names(read.definitions(path, **keys, **({"encoding": options["encoding"]} if "encoding" in options else {})), strategy)
-    done_path = Path(out_dir) / "_landed.json"
-    finished: dict[str, int] = json.loads(done_path.read_text()) if resume and done_path.exists() else {}
-    result = Landed()
-    for k, (name, parts) in enumerate(targets.items(), 1):
-        if progress:
-            progress(k, len(targets), name)
-        if name in finished:
-            result.skipped.append(name)
-            result.tables[name] = finished[name]
-            continue
+    began = time.time()
+    known = read.catalogs(path, **options)
+    found = read.definitions(path, known=known)
+    targets = plan_names(found, strategy)
+    done_path = f"{out_dir.rstrip('/')}/{MANIFEST}"
+    resume = resume or policy.enable_resume_capability
+    finished: dict[str, int] = (store.read_checkpoint(spark, done_path) if resume else None) or {}
+    result = Landed(files=len(known), log=ErrorLog(max_errors or policy.max_consecutive_errors))
+    by_file = {source_name(*key): (key, c) for key, c in known.items()}
+    lock = threading.Lock()
+    begun = 0
+
+    def frame(parts: list[tuple[str, str]], now: dict) -> DataFrame:
+        made = []
+        for source, table in parts:
+            (file, member), catalog = by_file[source]
+            t = found[source, table]
+            rows = next((n for n, _ in t.statistics.values()), None)
+            own = {"pagesPerPartition": policy.pages_per_partition(t.record_size, len(t.fields), rows), **now}
+            df = read.read_table(spark, file, table, known={(file, member): catalog}, **own, sourceFile="true")
+            made.append(df if len(parts) > 1 else df.drop("_source_file"))
+        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
+        return df.limit(0) if schema_only else df
+
+    def one(name: str, parts: list[tuple[str, str]]) -> None:
+        nonlocal begun
+        target = f"{out_dir.rstrip('/')}/{name}"
+        with lock:
+            if len(result.errors) >= result.log.max_errors:
+                return
+            begun += 1
+            if progress:
+                progress(begun, len(targets), name)
+            if name in finished:
+                result.skipped.append(name)
+                result.tables[name] = finished[name]
+                return
         try:
-            frames = []
-            for source, table in parts:
-                df = read.read_table(spark, source.partition("!")[0], table, **options, sourceFile="true").where(F.col("_source_file") == source)
-                frames.append(df if len(parts) > 1 else df.drop("_source_file"))
-            df = frames[0]
-            for other in frames[1:]:
-                df = df.unionByName(other, allowMissingColumns=True)
-            target = f"{out_dir}/{name}"
-            (write or (lambda d, p: d.write.mode("overwrite").parquet(p)))(df, target)
-            result.tables[name] = finished[name] = spark.read.parquet(target).count() if write is None else -1
-            done_path.parent.mkdir(parents=True, exist_ok=True)
-            done_path.write_text(json.dumps(finished))
+
+            def work(now: dict) -> int:
+                df = frame(parts, now)
+                if write is not None:
+                    write(df, target)
+                    return -1
+                return _write(df, target)
+
+            n = result.log.run(work, dict(options), table=name)
+            lost = 0
+            if str(options.get("mode", "")).upper() == "PERMISSIVE" or any(e.recovery_action == "skip_corrupt_record" and e.context.get("table") == name for e in result.log.entries):
+                for source, table in parts:
+                    (file, member), catalog = by_file[source]
+                    lost += read.damage(spark, file, table, known={(file, member): catalog}, **options).count()
+            with lock:
+                result.tables[name] = finished[name] = n
+                if lost:
+                    result.damaged[name] = lost
+                    result.log.add(f"{lost} damaged pages and records", "data_parsing", "warning", "skip_corrupt_record", table=name)
+                store.write_checkpoint(spark, done_path, finished)
         except Exception as e:  # one table's failure is reported, not fatal
-            result.errors.append((name, f"{type(e).__name__}: {str(e)[:500]}"))
-            if len(result.errors) >= max_errors:
-                break
+            with lock:
+                result.errors.append((name, f"{type(e).__name__}: {str(e)[:500]}"))
+            with suppress(TooManyErrors):
+                result.log.add(e, table=name)
+
+    if schema_only:
+        store.write_text(spark, f"{out_dir.rstrip('/')}/{SCHEMA_SCRIPT}", ddl.script(list(found.values())))
+    with ThreadPoolExecutor(max(1, threads or policy.threads)) as pool:
+        list(pool.map(lambda x: one(*x), targets.items()))
+    result.seconds = time.time() - began
     return result
 
 
@@ -156,10 +233,11 @@ def fields_for(schema: T.StructType, text_size: int = 255, most: dict[str, tuple
 def write_database(tables: dict[str, DataFrame], path: str, **options) -> int:
     """Write tables as one database file and return its rows.
 
-    The file is one stream of pages, so the driver writes it; rows arrive one
+    One file is one stream of pages, so the driver writes it; rows arrive one
     partition at a time, in the order of the DataFrame. Sizes of texts and arrays
     come from the metadata of their columns or else from a pass over the data; a
-    value that does not fit raises ValueError.
+    value that does not fit raises ValueError. Where several files will do, use
+    :func:`write_parts`, which writes on the executors.
     """
     n = 0
 
@@ -178,6 +256,40 @@ def write_database(tables: dict[str, DataFrame], path: str, **options) -> int:
     return n
 
 
+def write_parts(df: DataFrame, folder: str, table: str, rows_per_file: int = 50_000, **options) -> DataFrame:
+    """Write a table as database files of a bounded number of rows each, on the executors, and return (file, n_rows).
+
+    All files have the same definition, so the folder reads as one table. The
+    folder is one that driver and executors share. Files get names of their task's
+    attempt first and their own names once they are whole, so a task that is
+    repeated replaces what its first attempt left.
+    """
+    fields, memos, size = fields_for(df.schema, most=longest(df, options.get("encoding", DEFAULT_ENCODING)))
+    definition = TableDef(1, table, size, fields, memos)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        fs, root = (pafs.LocalFileSystem(), folder.removeprefix("file://").removeprefix("file:")) if folder.startswith(("/", "file:")) else pafs.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        rows = (dict(zip(names, row, strict=True)) for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for k in count():
+            some = list(islice(rows, rows_per_file))
+            if not some:
+                return
+            name = f"part-{task.partitionId():05d}-{k:04d}.tps"
+            temporary = f"{root}/_{name}.{task.taskAttemptId()}"
+            with fs.open_output_stream(temporary) as f:
+                f.write(files.encode_file([(definition, iter(some))], **options))
+            fs.move(temporary, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(some)], pa.int64())], ["file", "n_rows"])
+
+    done = df.mapInArrow(run, "file string, n_rows long").collect()  # a row for each file
+    return df.sparkSession.createDataFrame([tuple(r) for r in done], "file string, n_rows long")
+
+
 def reverse(spark: SparkSession, sqlite_path: str, out_dir: str) -> dict[str, int]:
     """A SQLite file as database files: tables with a phd_, mod_ or tps_ prefix go to a file of that kind, others to a .tps file."""
     read.register(spark)
@@ -197,3 +309,11 @@ def report(title: str, frames: dict[str, DataFrame], most: int = 20) -> str:
         rows = df.limit(most).collect()
         out += ["", name, "-" * len(name), " | ".join(df.columns), *[" | ".join(map(str, r)) for r in rows]]
     return "\n".join(out) + "\n"
+
+
+def landing_report(spark: SparkSession, done: Landed) -> str:
+    """A text report of a landing: totals, tables, errors by kind and the last of them."""
+    totals = spark.createDataFrame([(k, float(v)) for k, v in done.totals.items()], "what string, value double")
+    tables = spark.createDataFrame(sorted(done.tables.items()), "table_name string, rows long")
+    errors = done.log.frame(spark)
+    return report("Landing", {"totals": totals, "tables": tables, "errors": summary(errors), "last errors": last(errors, "at").select("category", "severity", "message")})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import sqlite3
 from collections.abc import Iterator
 from pathlib import PurePath
@@ -10,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from pagemill.codec import files
+from pagemill.codec import files, pages
 from pagemill.codec.types import DEFAULT_ENCODING, TableDef
-from pagemill.operators import naming
-from pagemill.sources.tps import TpsDataSource, expand, source_name
+from pagemill.operators import naming, sizing
+from pagemill.sources.tps import TpsDataSource, catalogs_of, catalogs_text, expand, opened, source_name
+
+log = logging.getLogger(__name__)
+Catalogs = dict[tuple[str, "str | None"], files.Catalog]
 
 CATALOG = "source_file string, table_number int, table_name string, record_size int, n_fields int, n_memos int, n_indexes int, stated_rows long, recovered boolean"
 FIELDS = "source_file string, table_name string, place int, field_name string, type string, offset int, size int, elements int, decimals int"
@@ -31,9 +35,14 @@ def databases(path: str, password: str | None = None, encoding: str = DEFAULT_EN
             yield source_name(one, member), db
 
 
-def definitions(path: str, **options) -> dict[tuple[str, str], TableDef]:
+def catalogs(path: str, **options) -> Catalogs:
+    """The catalog of every database at a path. Readers that are given it decode none again."""
+    return catalogs_of(path, {k.lower(): str(v) for k, v in options.items() if v is not None})
+
+
+def definitions(path: str, known: Catalogs | None = None, **options) -> dict[tuple[str, str], TableDef]:
     """The table definitions by (source file, table name)."""
-    return {(name, t.name): t for name, db in databases(path, **options) for t in db.tables.values() if t.name}
+    return {(source_name(*key), t.name): t for key, c in (catalogs(path, **options) if known is None else known).items() for t in c.tables if t.name}
 
 
 def catalog(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -45,6 +54,11 @@ def catalog(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.createDataFrame(rows, CATALOG)
 
 
+def catalog_totals(tables: DataFrame) -> DataFrame:
+    """Tables, fields, indexes and stated rows of each file and table, of each file, and of all, in one pass: what is null is summed over."""
+    return tables.rollup("source_file", "table_name").agg(F.count(F.lit(1)).alias("n_tables"), F.sum("n_fields").alias("n_fields"), F.sum("n_indexes").alias("n_indexes"), F.sum("stated_rows").alias("n_rows"))
+
+
 def fields(spark: SparkSession, path: str, **options) -> DataFrame:
     """A row per field of every table at a path."""
     rows = [(s, n, i, f.name, f.type, f.offset, f.size, f.elements, f.decimals) for (s, n), t in definitions(path, **options).items() for i, f in enumerate(t.fields)]
@@ -62,17 +76,64 @@ def archive(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(files.archive_members(path), "member string, category string, size long")
 
 
-def read_table(spark: SparkSession, path: str, table: str, memos: bool = True, **options) -> DataFrame:
-    """A table of every database at a path, its memos attached by (source file, record number).
+def estimate(path: str, table: str, known: Catalogs | None = None, pages_sampled: int = 20, **options) -> dict:
+    """Rows and MB of a table at a path, from its rows on a few leaf pages, with the advice that follows from them.
 
-    The k-th memo record of a row, in file order, belongs to the table's k-th
-    memo; text memos are decoded, blobs stay bytes, external ones are null.
+    As the size of a record is known, MB are rows times it. The pages are spread
+    evenly over each file; a file with no more pages than that is counted.
     """
+    lowered = {k.lower(): str(v) for k, v in options.items() if v is not None}
+    rows = size = 0.0
+    n_pages = n_sampled = 0
+    for key, c in (catalogs(path, **options) if known is None else known).items():
+        definition = c.table(table)
+        if definition is None or not c.leaves:
+            continue
+        step = max(1, len(c.leaves) // pages_sampled)
+        some = c.leaves[::step][:pages_sampled] if len(c.leaves) > pages_sampled else c.leaves
+        seen = 0
+        with opened(*key, lowered) as db:
+            for ref in some:
+                try:
+                    seen += len(pages.rows_of(db.raw_records(db.page(ref)), definition.number)[1])
+                except pages.CorruptPage:
+                    continue
+        found = seen * len(c.leaves) / len(some)
+        rows, size = rows + found, size + found * definition.record_size
+        n_pages, n_sampled = n_pages + len(c.leaves), n_sampled + len(some)
+    rows, mb = round(rows), size / 2**20
+    return {"estimated_records": rows, "estimated_size_mb": mb, "sample_pages": n_sampled, "total_pages": n_pages, **sizing.advice(rows, mb)}
+
+
+def damage(spark: SparkSession, path: str, table: str, known: Catalogs | None = None, **options) -> DataFrame:
+    """What cannot be read of a table: a row for each damaged page, and for each record of another size than the definition says."""
+    return _reader(spark, table, known, options).option("damage", "true").load(path)
+
+
+def _reader(spark: SparkSession, table: str, known: Catalogs | None, options: dict):
     register(spark)
-    reader = spark.read.format("tps").option("table", table).option("pushdown", spark.conf.get("spark.sql.python.filterPushdown.enabled", "false"))
+    reader = spark.read.format("tps").option("table", table)
+    if known is not None:
+        reader = reader.option("catalogs", catalogs_text(known))
     for k, v in options.items():
         reader = reader.option(k, v)
-    found = next((t for (_, n), t in definitions(path, password=options.get("password"), encoding=options.get("encoding", DEFAULT_ENCODING), recover=str(options.get("recover", "false")).lower() == "true").items() if n.lower() == table.lower()), None)
+    return reader
+
+
+def read_table(spark: SparkSession, path: str, table: str, memos: bool = True, known: Catalogs | None = None, **options) -> DataFrame:
+    """A table of every database at a path, its memos attached by (source file, record number).
+
+    The k-th memo record of a row, in file order, belongs to the table's k-th
+    memo; text memos are decoded, blobs stay bytes, external ones are null, with a
+    warning in the log. ``known`` are the path's catalogs, if they have been read.
+    """
+    known = catalogs(path, **options) if known is None else known
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    reader = _reader(spark, table, known, options).option("pushdown", pushdown)
+    found = next((t for c in known.values() if (t := c.table(table))), None)
+    for memo in found.memos if found else ():
+        if memo.external:
+            log.warning("table %s: memo %s is in the file %s, which is not read", found.name, memo.name, memo.external)
     if found is None or not found.memos or not memos:
         return reader.load(path)
     rows = reader.option("recNo", "true").option("sourceFile", "true").load(path)
@@ -82,9 +143,7 @@ def read_table(spark: SparkSession, path: str, table: str, memos: bool = True, *
     def decode(values):
         return values.map(lambda b: None if b is None else bytes(b).replace(b"\0", b"").decode(encoding, "replace"))
 
-    raw = spark.read.format("tps").option("table", table).option("memos", "true")
-    for k, v in options.items():
-        raw = raw.option(k, v)
+    raw = _reader(spark, table, known, options).option("memos", "true")
     held = raw.load(path).groupBy("_source_file", "record_number").agg(F.array_sort(F.collect_list(F.struct("place", "body"))).alias("__m"))
     joined = rows.join(held, (rows["_rec_no"] == held["record_number"]) & (rows["_source_file"] == held["_source_file"]), "left")
     out = [rows[f"`{c}`"] for c in rows.columns if c not in ("_rec_no", "_source_file") or str(options.get({"_rec_no": "recNo", "_source_file": "sourceFile"}[c], "false")).lower() == "true"]

@@ -1,8 +1,9 @@
 """A Spark data source for the binary format: ``spark.read.format("tps").option("table", name).load(path)``.
 
-The driver reads headers, the page tree and the table definitions; tasks read
-chunks of leaf pages and give Arrow batches. A page is decoded once per scan,
-whatever its tables. Equality and IN filters on ``_source_file`` and range filters
+The driver reads headers, the page tree and the table definitions once a scan, and
+not at all where the option ``catalogs`` brings them (see ``catalogs_of``). Tasks get
+the definition with their chunk of leaf pages and give Arrow batches, so a page's
+rows are decoded once a scan. Equality and IN filters on ``_source_file`` and range filters
 on ``_rec_no`` are taken over where Spark pushes them.
 
 Options: ``table`` (all tables' raw records if not given), ``password``,
@@ -11,7 +12,12 @@ Spark does not prune columns of Python sources), ``dateFields``, ``timeFields``
 (LONG fields that hold day counts or times), ``arrays`` (``native`` or ``off``),
 ``mode`` (``FAILFAST`` or ``PERMISSIVE``: damaged pages are skipped and short
 records get nulls), ``recover`` (use damaged definitions), ``pagesPerPartition``,
-``recNo``, ``sourceFile`` (add ``_rec_no``, ``_source_file``), ``raw``.
+``recNo``, ``sourceFile`` (add ``_rec_no``, ``_source_file``), ``raw``, ``damage``
+(what cannot be read of a table: damaged pages, and records of another size than
+the definition says).
+
+Files are found by the driver: paths in a folder that driver and executors both
+mount, or in a store that Arrow knows.
 
 Memos are joined by the (table, record) key: see :func:`pagemill.sources.read.read_table`.
 """
@@ -19,20 +25,23 @@ Memos are joined by the (table, record) key: see :func:`pagemill.sources.read.re
 from __future__ import annotations
 
 import glob
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePath
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, In, InputPartition, LessThanOrEqual
 
 from pagemill.codec import arrays, files, pages
-from pagemill.codec.types import DEFAULT_ENCODING, FieldDef, TableDef, decode_column, spark_type
+from pagemill.codec.types import DEFAULT_ENCODING, FieldDef, TableDef, arrow_column, spark_type
 from pagemill.operators import naming
 
 RAW_SCHEMA = "_source_file string, page int, kind string, table_number int, record_number long, body binary"
+DAMAGE_SCHEMA = "_source_file string, page int, record_number long, what string"
 MEMO_SCHEMA = "_source_file string, table_number int, record_number long, place int, body binary"
 
 
@@ -40,11 +49,13 @@ def expand(path: str) -> list[tuple[str, str | None]]:
     """(path, archive member) of the databases at a path: a file, a folder, a pattern, or an archive."""
     out: list[tuple[str, str | None]] = []
     for one in path.split(","):
-        local = one.removeprefix("file:")
-        if "://" not in one and os.path.isdir(local):
+        local = one.removeprefix("file://").removeprefix("file:")
+        if "://" in local:
+            found = listed(one)
+        elif os.path.isdir(local):
             found = sorted(os.path.join(d, n) for d, _, names in os.walk(local) for n in names if PurePath(n).suffix.lower() in (*files.SUFFIXES, files.ARCHIVE))
         else:
-            found = sorted(glob.glob(local)) if "://" not in one and glob.has_magic(local) else [one]
+            found = sorted(glob.glob(local)) if glob.has_magic(local) else [local]
         for name in found:
             if PurePath(name).suffix.lower() == files.ARCHIVE:
                 out += [(name, m) for m, category, _ in files.archive_members(name) if category != "other"]
@@ -53,6 +64,17 @@ def expand(path: str) -> list[tuple[str, str | None]]:
     return out
 
 
+def listed(path: str) -> list[str]:
+    """The databases in a folder of another store, or the path itself if it is a file."""
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(path)
+    if store.get_file_info(inner).type != fs.FileType.Directory:
+        return [path]
+    scheme = path[: len(path.rstrip("/")) - len(inner.rstrip("/"))] if path.rstrip("/").endswith(inner.rstrip("/")) else path.split("://")[0] + "://"
+    return sorted(scheme + f.path for f in store.get_file_info(fs.FileSelector(inner, recursive=True)) if PurePath(f.path).suffix.lower() in (*files.SUFFIXES, files.ARCHIVE))
+
+
 def source_name(path: str, member: str | None) -> str:
     return f"{path}!{member}" if member else path
 
@@ -107,41 +129,70 @@ def schema_of(plans: list[ColumnPlan], options: dict) -> T.StructType:
     return out
 
 
+def flag(options: dict, name: str) -> bool:
+    return options.get(name.lower(), "false").lower() == "true"
+
+
+def opened(path: str, member: str | None, options: dict) -> files.Database:
+    return files.Database(path, options.get("password"), options.get("encoding", DEFAULT_ENCODING), member, flag(options, "recover"))
+
+
+def catalogs_of(path: str, options: dict) -> dict[tuple[str, str | None], files.Catalog]:
+    """The catalog of every database at a path; each file is decoded once for it."""
+    out = {}
+    for one in expand(path):
+        with opened(*one, options) as db:
+            out[one] = db.catalog
+    return out
+
+
+def catalogs_text(catalogs: dict[tuple[str, str | None], files.Catalog]) -> str:
+    """Catalogs as a value of the option ``catalogs``."""
+    return json.dumps([[*key, c.to_text()] for key, c in catalogs.items()])
+
+
+def kind_of(options: dict) -> str:
+    if "table" not in options or flag(options, "raw"):
+        return "raw"
+    return "memos" if flag(options, "memos") else "damage" if flag(options, "damage") else "rows"
+
+
 @dataclass
 class Chunk(InputPartition):
     path: str
     member: str | None
     refs: list[int]
+    table: TableDef | None
 
 
 class TpsReader(DataSourceReader):
     def __init__(self, source: TpsDataSource, schema: T.StructType):
-        self.options = {k.lower(): v for k, v in source.options.items()}
+        self.options = {k.lower(): v for k, v in source.options.items() if k.lower() != "catalogs"}
+        self.catalogs = source.catalogs()
         self.schema = schema
         self.sources: set[str] | None = None
         self.least: int | None = None
         self.most: int | None = None
 
-    def _open(self, path: str, member: str | None) -> files.Database:
-        o = self.options
-        return files.Database(path, o.get("password"), o.get("encoding", DEFAULT_ENCODING), member, o.get("recover", "false").lower() == "true")
+    def __getstate__(self):
+        return {**self.__dict__, "catalogs": {}}  # tasks need no more than their chunk
 
     def partitions(self):
         per = int(self.options.get("pagesperpartition", "256"))
+        kind = kind_of(self.options)
         out = []
-        for path, member in expand(self.options["path"]):
-            if self.sources is not None and source_name(path, member) not in self.sources:
+        for (path, member), catalog in self.catalogs.items():
+            table = catalog.table(self.options["table"]) if kind != "raw" else None
+            if self.sources is not None and source_name(path, member) not in self.sources or kind != "raw" and table is None:
                 continue
-            with self._open(path, member) as db:
-                refs = [p.ref for p in db.leaves]
-            out += [Chunk(path, member, refs[i : i + per]) for i in range(0, len(refs), per)]
-        return out or [Chunk("", None, [])]
+            out += [Chunk(path, member, list(catalog.leaves[i : i + per]), table) for i in range(0, len(catalog.leaves), per)]
+        return out or [Chunk("", None, [], None)]
 
-    def _pages(self, db: files.Database, refs: list[int]) -> Iterator[tuple[int, list[pages.Record]]]:
+    def _pages(self, db: files.Database, refs: list[int]) -> Iterator[tuple[int, list[bytes]]]:
         permissive = self.options.get("mode", "FAILFAST").upper() != "FAILFAST"
         for ref in refs:
             try:
-                yield ref, list(db.records(db.page(ref)))
+                yield ref, db.raw_records(db.page(ref))
             except pages.CorruptPage:
                 if not permissive:
                     raise
@@ -149,47 +200,59 @@ class TpsReader(DataSourceReader):
     def read(self, chunk: Chunk):
         if not chunk.refs:
             return
-        o = self.options
-        with self._open(chunk.path, chunk.member) as db:
-            name = source_name(chunk.path, chunk.member)
-            kind = "raw" if o.get("raw", "false").lower() == "true" or "table" not in o else "memos" if o.get("memos", "false").lower() == "true" else "rows"
-            if kind == "raw":
-                for ref, records in self._pages(db, chunk.refs):
-                    yield self._batch([(name, ref, r.kind, r.table, r.number, r.body) for r in records])
-                return
-            try:
-                table = db.table(o["table"])
-            except KeyError:
+        kind, table, name = kind_of(self.options), chunk.table, source_name(chunk.path, chunk.member)
+        with opened(chunk.path, chunk.member, self.options) as db:
+            if kind == "damage":
+                yield self._batch([(name, *x) for x in self._damage(db, chunk)])
                 return
-            if kind == "memos":
-                for ref, records in self._pages(db, chunk.refs):
+            plans = plan_columns(table, self.options) if kind == "rows" else []
+            for ref, raws in self._pages(db, chunk.refs):
+                if kind == "rows":
+                    numbers, bodies = pages.rows_of(raws, table.number)
+                    if self.least is not None or self.most is not None:
+                        kept = [k for k, n in enumerate(numbers) if (self.least is None or n >= self.least) and (self.most is None or n <= self.most)]
+                        numbers, bodies = numbers[kept], [bodies[k] for k in kept]
+                    if bodies:
+                        yield self._rows(numbers, bodies, plans, name)
+                    continue
+                records = [pages.parse_record(raw) for raw in raws]
+                if kind == "raw":
+                    yield self._batch([(name, ref, r.kind, r.table, r.number, r.body) for r in records])
+                else:
                     yield self._batch([(name, r.table, r.number, ref * 65536 + i, r.body) for i, r in enumerate(records) if r.kind == pages.MEMO and r.table == table.number])
-                return
-            plans = plan_columns(table, o)
-            for _, records in self._pages(db, chunk.refs):
-                mine = [r for r in records if r.kind == pages.DATA and r.table == table.number and (self.least is None or r.number >= self.least) and (self.most is None or r.number <= self.most)]
-                if mine:
-                    yield self._rows(mine, plans, name)
+
+    def _damage(self, db: files.Database, chunk: Chunk) -> Iterator[tuple[int, int | None, str]]:
+        for ref in chunk.refs:
+            try:
+                numbers, bodies = pages.rows_of(db.raw_records(db.page(ref)), chunk.table.number)
+            except pages.CorruptPage as e:
+                yield ref, None, str(e)
+                continue
+            for number, body in zip(numbers.tolist(), bodies, strict=True):
+                if len(body) != chunk.table.record_size:
+                    yield ref, number, f"a record of {len(body)} bytes, not {chunk.table.record_size}"
 
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
         kinds = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary()}
         columns = list(zip(*rows, strict=True)) or [()] * len(self.schema)
         return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[f.dataType.simpleString()]) for c, f in zip(columns, self.schema, strict=True)], self.schema.names)
 
-    def _rows(self, records: list[pages.Record], plans: list[ColumnPlan], source: str) -> pa.RecordBatch:
+    def _rows(self, numbers: np.ndarray, bodies: list[bytes], plans: list[ColumnPlan], source: str) -> pa.RecordBatch:
         from pyspark.sql.pandas.types import to_arrow_type
 
         encoding = self.options.get("encoding", DEFAULT_ENCODING)
-        bodies = [r.body for r in records]
-        made = {"_rec_no": [r.number for r in records], "_source_file": [source] * len(records)}
-        for p in plans:
-            columns = [decode_column(bodies, f, encoding, p.date, p.time) for f in p.fields]
-            if len(columns) == 1:
-                made[p.name] = columns[0]
+        by_name = {p.name: p for p in plans}
+        out = []
+        for f in self.schema.fields:
+            kind = to_arrow_type(f.dataType)
+            if f.name in by_name:
+                p = by_name[f.name]
+                out.append(arrow_column(bodies, p.fields, kind, encoding, p.date, p.time))
+            elif f.name == "_rec_no":
+                out.append(pa.array(numbers, kind))
             else:
-                made[p.name] = [[bool(x) if x is not None and p.fields[0].type == "BYTE" else x for x in row] for row in zip(*columns, strict=True)]
-        arrays_ = [pa.array(made.get(f.name, [None] * len(records)), to_arrow_type(f.dataType)) for f in self.schema.fields]
-        return pa.RecordBatch.from_arrays(arrays_, self.schema.names)
+                out.append(pa.array([source if f.name == "_source_file" else None] * len(bodies), kind))
+        return pa.RecordBatch.from_arrays(out, self.schema.names)
 
 
 class PushingReader(TpsReader):
@@ -213,22 +276,29 @@ class TpsDataSource(DataSource):
     def name(cls) -> str:
         return "tps"
 
+    def _lowered(self) -> dict:
+        return {k.lower(): v for k, v in self.options.items()}
+
+    def catalogs(self) -> dict[tuple[str, str | None], files.Catalog]:
+        """The catalogs of the path, or those that were brought along, which name the files then. They are kept here, and Spark hands this object from schema() on to the reader, so each file is decoded once a scan."""
+        if not hasattr(self, "_catalogs"):
+            o = self._lowered()
+            if "path" not in o:
+                raise ValueError("load() needs a path")
+            brought = o.get("catalogs")
+            self._catalogs = {(p, m): files.Catalog.from_text(t) for p, m, t in json.loads(brought)} if brought else catalogs_of(o["path"], o)
+        return self._catalogs
+
     def schema(self):
-        o = {k.lower(): v for k, v in self.options.items()}
-        if "path" not in o:
-            raise ValueError("load() needs a path")
-        if "table" not in o or o.get("raw", "false").lower() == "true":
-            return RAW_SCHEMA
-        if o.get("memos", "false").lower() == "true":
-            return MEMO_SCHEMA
-        for path, member in expand(o["path"]):
-            with files.Database(path, o.get("password"), o.get("encoding", DEFAULT_ENCODING), member, o.get("recover", "false").lower() == "true") as db:
-                try:
-                    return schema_of(plan_columns(db.table(o["table"]), o), o)
-                except KeyError:
-                    continue
+        o = self._lowered()
+        found = self.catalogs()
+        kind = kind_of(o)
+        if kind != "rows":
+            return {"raw": RAW_SCHEMA, "memos": MEMO_SCHEMA, "damage": DAMAGE_SCHEMA}[kind]
+        for catalog in found.values():
+            if table := catalog.table(o["table"]):
+                return schema_of(plan_columns(table, o), o)
         raise ValueError(f"{o['path']} has no table {o['table']!r}")
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        pushing = {k.lower(): v for k, v in self.options.items()}.get("pushdown", "false").lower() == "true"
-        return (PushingReader if pushing else TpsReader)(self, schema)
+        return (PushingReader if flag(self._lowered(), "pushdown") else TpsReader)(self, schema)
