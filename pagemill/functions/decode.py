@@ -88,6 +88,13 @@ def clean_text(text: Column) -> Column:
     return F.nullif(F.rtrim(text, F.lit("\0")), F.lit(""))
 
 
+def default_text(value: Column, kind: T.DataType) -> Column:
+    """A value of a type that a target does not know, as text: bytes in hex, arrays and structs as JSON, others as they print."""
+    if isinstance(kind, T.BinaryType):
+        return F.lower(F.hex(value))
+    return F.to_json(value) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else value.cast("string")
+
+
 def normal_text(text: Column) -> Column:
     """For comparing: without zero characters at the end and white space around."""
     return F.trim(F.rtrim(text, F.lit("\0")))

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagemill.operators.ordered import furthest_before, numbered
 from pagemill.operators.profile import NUMERIC, profile
 
 
@@ -66,16 +67,17 @@ def cell_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def positional_diff(left: DataFrame, right: DataFrame, order: list[str], limit: int | None = 100) -> DataFrame:
-    """Cells that differ between the n-th rows of both sides in an order; the first ``limit`` rows, as a sample.
+    """Cells that differ between the n-th rows of both sides in an order; the first ``limit`` rows, as a sample, or all with None.
 
-    A position needs one global order; where both sides have a key, prefer :func:`cell_diff`.
+    Where both sides have a key, prefer :func:`cell_diff`.
     """
 
-    def numbered(df: DataFrame) -> DataFrame:
-        some = df.orderBy(*order).limit(limit) if limit is not None else df
-        return some.withColumn("position", F.row_number().over(Window.orderBy(*order)))
+    def placed(df: DataFrame) -> DataFrame:
+        if limit is None:
+            return numbered(df, order)
+        return df.orderBy(*order).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
-    return cell_diff(numbered(left), numbered(right), ["position"])
+    return cell_diff(placed(left), placed(right), ["position"])
 
 
 def null_ratio(df: DataFrame, columns: list[str], flag_over: float = 0.5) -> DataFrame:
@@ -109,20 +111,26 @@ def shared_tables(catalog: DataFrame, file: str, table: str) -> DataFrame:
 def file_similarity(catalog: DataFrame, file: str, table: str, over: float = 0.5) -> DataFrame:
     """Jaccard similarity of the table names of each pair of files that share one, above a bound.
 
-    Pairs come from shared names, not from a cross join of files.
+    A pair above the bound shares one of the rarest names of both: of n names the
+    first n - ceil(bound * n) + 1, so only those are joined, and a name that many
+    files have makes no pairs among them unless it is all that they have.
     """
     own = catalog.select(F.col(file).alias("f"), F.col(table).alias("t")).distinct()
-    size = own.groupBy("f").agg(F.count(F.lit(1)).alias("n"))
-    a, b = own.withColumnRenamed("f", "file_a"), own.withColumnRenamed("f", "file_b")
-    common = a.join(b, "t").where("file_a < file_b").groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("common"))
-    sized = common.join(size.select(F.col("f").alias("file_a"), F.col("n").alias("na")), "file_a").join(size.select(F.col("f").alias("file_b"), F.col("n").alias("nb")), "file_b")
-    return sized.select("file_a", "file_b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity")).where(F.col("similarity") > over)
+    common = own.groupBy("t").agg(F.count(F.lit(1)).alias("k"))
+    # the names of one file, rarest first
+    names = own.join(common, "t").groupBy("f").agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("names"))
+    names = names.select("f", F.transform("names", lambda x: x["t"]).alias("names"))
+    n = F.size("names")
+    prefix = names.select("f", F.explode(F.slice("names", 1, n - F.ceil(n * over).cast("int") + 1)).alias("t"))
+    a, b = prefix.withColumnRenamed("f", "file_a"), prefix.withColumnRenamed("f", "file_b")
+    pairs = a.join(b, "t").where("file_a < file_b").select("file_a", "file_b").distinct()
+    both = pairs.join(names.select(F.col("f").alias("file_a"), F.col("names").alias("na")), "file_a").join(names.select(F.col("f").alias("file_b"), F.col("names").alias("nb")), "file_b")
+    return both.select("file_a", "file_b", (F.size(F.array_intersect("na", "nb")) / F.size(F.array_union("na", "nb"))).alias("similarity")).where(F.col("similarity") > over)
 
 
 def overlaps(spans: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Adjacent pairs of a sweep: each span that begins before the furthest end so far, with that end. Linear, for any nesting."""
-    before = Window.orderBy(start, end, key).rowsBetween(Window.unboundedPreceding, -1)
-    reach = spans.withColumn("reach", F.max(F.struct(F.col(end).alias("end"), F.col(key).alias("key"))).over(before))
+    """Adjacent pairs of a sweep: each span that begins before the furthest end so far, with that end. Linear, for any nesting, and by ranges of the order."""
+    reach = furthest_before(spans, [start, end, key], F.struct(F.col(end).alias("end"), F.col(key).alias("key")), "reach")
     return reach.where(F.col(start) < F.col("reach.end")).select(F.col(key), F.col("reach.key").alias("overlapped"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.codec.types import FieldDef, IndexDef, MemoDef, TableDef
 from pagemill.functions import decode
-from pagemill.operators import ddl, errors, quality
+from pagemill.operators import ddl, errors, ordered, quality
 from pagemill.plans.profiling import table
 from pagemill.sinks import landing, store
 from pagemill.sources import read
@@ -215,6 +215,17 @@ def common_fields(spark, d):
     return quality.common_fields(fields).select("table_a", "table_b", F.array_join("common_fields", ",").alias("fields"))
 
 
+@query("SELECT c_custkey, lower(hex(encode(c_name))) AS bytes, '[' || c_nationkey || ',' || c_nationkey || ']' AS list, c_nationkey::VARCHAR AS plain FROM customer")
+def default_text(spark, d):
+    made = table(spark, d, "customer").select("c_custkey", F.encode("c_name", "UTF-8").alias("bytes"), F.array("c_nationkey", "c_nationkey").alias("list"), F.col("c_nationkey").alias("plain"))
+    return made.select("c_custkey", *[decode.default_text(F.col(f.name), f.dataType).alias(f.name) for f in made.schema.fields[1:]])
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")
+def positions(spark, d):
+    return ordered.numbered(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
 @query("SELECT p_partkey, p_name AS normal FROM part")
 def compare_normal(spark, d):
     return table(spark, d, "part").select("p_partkey", decode.normal_text(F.concat(F.lit(" "), F.col("p_name"), F.lit(" \0"))).alias("normal"))

@@ -231,6 +231,23 @@ def test_candidates_and_recovery():
     assert definitions.vote(b"", 3) == [] and definitions.scanned_fields(b"", 0) == []
 
 
+def test_raw_values():
+    import struct
+
+    from pagemill.codec.types import raw_value
+
+    one = lambda kind, raw: raw_value(raw, FieldDef("F", kind, 0, len(raw)))
+    assert one("DOUBLE", struct.pack("<d", 1.5)) == 1.5 and one("LONG", struct.pack("<i", -5)) == -5 and one("BYTE", b"\x02") is True
+    assert one("STRING", b"ab  ") == "ab" and one("LONG", b"\x01\x02") == "0102" and one("DECIMAL", b"\x12\x34") == "1234" and one("LONG", b"") is None
+
+
+def test_positions_of_whole_tables(spark):
+    a = spark.createDataFrame([(i, f"v{i}") for i in range(500)], "k int, v string").repartition(7)
+    b = spark.createDataFrame([(i + 1000, f"v{i}" if i != 77 else "odd") for i in range(500)], "k int, v string").repartition(3)
+    found = quality.positional_diff(a, b.selectExpr("k - 1000 AS k", "v"), ["k"], limit=None).collect()
+    assert [tuple(r) for r in found] == [(78, "v", "v77", "odd")]
+
+
 def test_parts_written_by_tasks(spark, tmp_path):
     df = spark.range(1000).selectExpr("CAST(id AS int) AS k", "repeat('x', 300) AS long_text", "array(1.5, 2.5) AS v").repartition(3)
     made = landing.write_parts(df, str(tmp_path / "parts"), "T", rows_per_file=200)
