@@ -1,8 +1,9 @@
 """BPE encoding and decoding by tree concatenation.
 
 A long text is halved, wherever the middle falls, until its pieces are short;
-the pieces are encoded on their own, by the library in parallel batches of
-bounded size, and neighbours are joined level by level.
+the pieces are encoded on their own, those of a bounded batch at once: the words
+that none of them has met before go to the library in one parallel call. Then
+neighbours are joined level by level.
 A join re-encodes a window around the cut: its left edge lies before a white
 space left of the cut, its right edge before one right of it. The window is
 accepted if its first and last tokens are those that the two sides hold there
@@ -33,6 +34,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,7 +47,7 @@ from pagemill.llm import byte_level, runtime
 LEAF, WORD_LEAF = 4096, 256
 #: Characters at first between a cut and an edge of its window.
 WINDOW = 32
-#: Pieces of a text that the library encodes at once.
+#: Pieces of a text that are encoded at once.
 AT_ONCE = 64
 
 #: The columns that encode() always makes.
@@ -126,10 +128,14 @@ class Encoder:
 
     # texts
 
+    def _usual(self, text: str) -> bool:
+        """Whether the fast pattern splits a text as the library does."""
+        return text.isascii() and text.isprintable() or not byte_level.UNUSUAL.search(text)
+
     def flat(self, text: str) -> list[int]:
         """The tokens of a text without added special tokens, word by word."""
         out: list[int] = []
-        if text.isascii() and text.isprintable() or not byte_level.UNUSUAL.search(text):
+        if self._usual(text):
             for ids in map(self.by_text.__getitem__, _FAST.findall(text.lower())):
                 out += ids
         else:
@@ -169,11 +175,21 @@ class Encoder:
             bounds = [half for a, b in bounds for half in ((a, (a + b) // 2), ((a + b) // 2, b))]
         out = []
         for i in range(0, len(bounds), AT_ONCE):
-            some = bounds[i : i + AT_ONCE]
-            made = self.tok.encode_batch([text[a:b] for a, b in some], add_special_tokens=False)
-            out += [(a, b, e.ids) for (a, b), e in zip(some, made, strict=True)]
+            some = [text[a:b] for a, b in bounds[i : i + AT_ONCE]]
+            words = [_FAST.findall(p.lower()) if self._usual(p) else None for p in some]
+            self._learn(words)
+            known = self.by_text.__getitem__
+            ids = [self.flat(p) if own is None else [*chain.from_iterable(map(known, own))] for p, own in zip(some, words, strict=True)]
+            out += [(a, b, x) for (a, b), x in zip(bounds[i : i + AT_ONCE], ids, strict=True)]
         return out
 
+    def _learn(self, words: list[list[str] | None]) -> None:
+        """Encode the words of all pieces that are not known yet in one parallel call of the library. Words of letters alone are pre-tokens of their own, so this gives what they give in a text."""
+        new = [w for w in set().union(*filter(None, words)) if w not in self.by_text and w.isascii() and w.isalpha() and len(w) <= self.word_leaf]
+        if len(new) > 1:
+            for word, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
+                self.by_text.learn(word, tuple(e.ids))
+
     def tree(self, text: str) -> list[int]:
         """The tokens of a text without added special tokens."""
         if len(text) <= self.leaf:

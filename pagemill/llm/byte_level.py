@@ -73,12 +73,15 @@ class Memo(dict):
 
     def __missing__(self, key):
         value = self.function(key)
+        self.learn(key, value)
+        return value
+
+    def learn(self, key, value) -> None:
         if len(key) <= 64:
             if len(self) >= self.most:
                 self.clear()
                 self.update(self.known)
             self[key] = value
-        return value
 
 
 @cache
