@@ -382,9 +382,13 @@ def _with_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """The members of hubs that have members in several components."""
+    """The members of hubs that have members in several components.
+
+    Joins by hub are merge joins throughout: their number grows with the data, and
+    Spark splits the members of a hub that has very many.
+    """
     hubs = members.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub")
-    return members.join(hubs, "hub")
+    return members.join(hubs.hint("merge"), "hub")
 
 
 def _differences(members: DataFrame, texts: DataFrame, words: int, by_count: bool) -> DataFrame:
@@ -409,7 +413,7 @@ def _differences(members: DataFrame, texts: DataFrame, words: int, by_count: boo
     none = F.array().cast("array<long>")
     flipped = F.concat(F.array_except("d", "odd"), F.array_except("odd", "d"))
     # a hub with two members keeps for each what the other lacks; one that has no odd element stays as it is
-    joined = apart.join(runtime.written(odd, "dedup-odd"), "hub", "left")
+    joined = apart.join(runtime.written(odd, "dedup-odd").hint("merge"), "hub", "left")
     return joined.select("hub", "words", "n", F.when(F.col("odd").isNull(), F.coalesce("d", none)).otherwise(flipped).alias("d"))
 
 
@@ -417,7 +421,7 @@ def _near_base(rows: DataFrame) -> DataFrame:
     """Links (a, b) of members to the one that is nearest to the base of their hub, where the differences of both are too few to be apart."""
     best = rows.groupBy("hub").agg(F.min(F.struct("g", "words")).alias("best"))
     best = runtime.written(best.select("hub", F.col("best.g").alias("bg"), F.col("best.words").alias("b")), "dedup-best")
-    return rows.join(best, "hub").where((F.col("words") != F.col("b")) & (F.col("g") + F.col("bg") <= 1e-10 * F.col("n"))).select(F.col("words").alias("a"), "b").distinct()
+    return rows.join(best.hint("merge"), "hub").where((F.col("words") != F.col("b")) & (F.col("g") + F.col("bg") <= 1e-10 * F.col("n"))).select(F.col("words").alias("a"), "b").distinct()
 
 
 def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
@@ -436,7 +440,7 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
     first = runtime.written(first, "dedup-least")
     second = least.join(first, "hub").where("c <> c1").groupBy("hub").agg(F.min("low").alias("g2"))
     floors = runtime.written(first.join(second, "hub"), "dedup-floors")
-    known = rows.join(floors, "hub").select("hub", "words", "n", F.size("d").alias("d"), "g", "c", "stray", F.when(F.col("c") == F.col("c1"), F.col("g2")).otherwise(F.col("g1")).alias("low"))
+    known = rows.join(floors.hint("merge"), "hub").select("hub", "words", "n", F.size("d").alias("d"), "g", "c", "stray", F.when(F.col("c") == F.col("c1"), F.col("g2")).otherwise(F.col("g1")).alias("low"))
     known = runtime.written(known, "dedup-known")
     elements = rows.select("hub", "words", F.explode("d").alias("e"))
     count = runtime.written(elements.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "dedup-counted")
