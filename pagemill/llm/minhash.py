@@ -287,7 +287,6 @@ def _sign(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: in
 def _told_apart(signed: DataFrame) -> DataFrame:
     """Nodes whose second digests differ get names of their own, made from both digests."""
     doubled = signed.groupBy("words").agg(F.min("check").alias("__low"), F.max("check").alias("__high")).where("__low < __high").select("words")
-    doubled = runtime.written(doubled, "dedup-doubled")
     if not doubled.limit(1).count():
         return signed
     marked = signed.join(doubled.withColumn("__two", F.lit(True)), "words", "left")
@@ -388,7 +387,7 @@ def _open(members: DataFrame) -> DataFrame:
     Spark splits the members of a hub that has very many.
     """
     hubs = members.groupBy("hub").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("hub")
-    return members.join(hubs.hint("merge"), "hub")
+    return members.join(runtime.written(hubs, "dedup-hubs").hint("merge"), "hub")
 
 
 def _differences(members: DataFrame, texts: DataFrame, words: int, by_count: bool) -> DataFrame:
@@ -464,6 +463,15 @@ def _candidates(rows: DataFrame, threshold: float) -> DataFrame:
     return a.join(b, ["hub", "e"]).where(above & (F.col("a_c") != F.col("b_c")) & (F.col("a_stray") | F.col("b_stray")) & room).select(F.col("a_words").alias("a"), F.col("b_words").alias("b")).distinct()
 
 
+def _merged(classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The classes (id, class) with more edges (a, b): only the classes that an edge joins take part in the rounds."""
+    ends = edges.join(classes.select(F.col("id").alias("a"), F.col("class").alias("ca")), "a", "left").join(classes.select(F.col("id").alias("b"), F.col("class").alias("cb")), "b", "left")
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    alone = joined.select("id").join(classes, "id", "left_anti").select("id", F.col("id").alias("class"))
+    new = joined.select(F.col("id").alias("class"), F.col("class").alias("__new"))
+    return runtime.written(classes.unionAll(alone).join(new, "class", "left").select("id", F.coalesce("__new", "class").alias("class")), "dedup-classes")
+
+
 def _classes(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], words: int, threshold: float, by_count: bool) -> DataFrame:
     """(id, class) of every node that is linked to another."""
     pairs = runtime.written(_met(signed), "dedup-pairs")
@@ -481,11 +489,10 @@ def _classes(signed: DataFrame, texts_of: Callable[[DataFrame], DataFrame], word
     rows = runtime.written(_differences(members, texts, words, by_count).select("*", apart), "dedup-differences")
     near = runtime.written(_near_base(rows), "dedup-near")
     if near.limit(1).count():
-        links = links.unionAll(near)
-        classes = components(links)
+        classes = _merged(classes, near)
     rows = runtime.written(_open(_with_classes(rows, classes)), "dedup-open")
     found = runtime.written(_compared(_candidates(rows, threshold), texts, words, by_count).where(over), "dedup-more")
-    return components(links.unionAll(found.select("a", "b"))) if found.limit(1).count() else classes
+    return _merged(classes, found.select("a", "b")) if found.limit(1).count() else classes
 
 
 def _classified(docs: DataFrame, key: str, text: str, words: int, threshold: float, bands: int, rows: int, weights: str, unnamed: bool) -> tuple[DataFrame, DataFrame]:
