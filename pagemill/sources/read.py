@@ -19,6 +19,8 @@ from pagemill.sources.tps import TpsDataSource, catalogs_of, catalogs_text, expa
 log = logging.getLogger(__name__)
 Catalogs = dict[tuple[str, "str | None"], files.Catalog]
 
+#: Row ids of a SQLite table in a task, unless the option numPartitions says otherwise.
+ROWS_PER_PART = 100_000
 CATALOG = "source_file string, table_number int, table_name string, record_size int, n_fields int, n_memos int, n_indexes int, stated_rows long, recovered boolean"
 FIELDS = "source_file string, table_name string, place int, field_name string, type string, offset int, size int, elements int, decimals int"
 
@@ -178,29 +180,35 @@ def valid_inputs(paths: list[str]) -> tuple[list[str], list[str]]:
 
 
 class SqlitePart(InputPartition):
-    def __init__(self, low: int, high: int):
+    """A range of row ids, or all of a table that has none."""
+
+    def __init__(self, low: int | None, high: int | None):
         super().__init__((low, high))
 
 
 class SqliteReader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.path, self.table, self.schema = options["path"], options["table"], schema
-        self.n = int(options.get("numPartitions", "1"))
+        self.n = int(options["numPartitions"]) if "numPartitions" in options else None
 
     def partitions(self):
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
-            low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            try:
+                low, high = con.execute(f'SELECT min(rowid), max(rowid) FROM "{self.table}"').fetchone()
+            except sqlite3.OperationalError:  # a table WITHOUT ROWID, or a view
+                return [SqlitePart(None, None)]
         if low is None:
             return [SqlitePart(0, -1)]
-        step = max(1, -(-(high - low + 1) // self.n))
+        step = max(1, -(-(high - low + 1) // self.n)) if self.n else ROWS_PER_PART
         return [SqlitePart(a, min(high, a + step - 1)) for a in range(low, high + 1, step)]
 
     def read(self, part: SqlitePart):
         low, high = part.value
         names = ", ".join(f'"{f.name}"' for f in self.schema.fields)
         casts = [{"bigint": int, "double": float, "string": str, "binary": bytes}[f.dataType.simpleString()] for f in self.schema.fields]
+        some = ("", ()) if low is None else (" WHERE rowid BETWEEN ? AND ? ORDER BY rowid", (low, high))
         with sqlite3.connect(f"file:{self.path}?mode=ro", uri=True) as con:
-            for row in con.execute(f'SELECT {names} FROM "{self.table}" WHERE rowid BETWEEN ? AND ? ORDER BY rowid', (low, high)):
+            for row in con.execute(f'SELECT {names} FROM "{self.table}"{some[0]}', some[1]):
                 yield tuple(None if x is None else x.encode() if c is bytes and isinstance(x, str) else c(x) for x, c in zip(row, casts, strict=True))
 
 

@@ -84,6 +84,20 @@ def test_reverse(spark, tmp_path):
     assert bytes(read.read_table(spark, str(tmp_path / "o/s.mod"), "M").first().data) == b"blob data"
 
 
+def test_sqlite_partitions(spark, tmp_path):
+    path = str(tmp_path / "p.sqlite")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE a (k INTEGER, v TEXT)")
+        con.executemany("INSERT INTO a VALUES (?, ?)", [(i, str(i)) for i in range(250)])
+        con.execute("CREATE TABLE b (k INTEGER PRIMARY KEY, v REAL) WITHOUT ROWID")
+        con.executemany("INSERT INTO b VALUES (?, ?)", [(i, i / 2) for i in range(5)])
+        con.execute("CREATE TABLE c (k INTEGER)")
+    read.register(spark)
+    load = lambda t, **o: spark.read.format("sqlite_file").options(table=t, **o).load(path)
+    assert load("a", numPartitions="3").rdd.getNumPartitions() == 3 and load("a", numPartitions="3").count() == load("a").count() == 250
+    assert sorted(map(tuple, load("b").collect())) == [(i, i / 2) for i in range(5)] and load("c").count() == 0
+
+
 def test_reverse_keeps_long_values(spark, tmp_path):
     long = "é long text " * 100 + "end"
     with sqlite3.connect(tmp_path / "l.sqlite") as con:
