@@ -5,7 +5,7 @@ import hashlib
 import public_tokenizers
 import pytest
 
-from pagemill.llm import bpe, byte_level, language_id, licenses, pii, queries, runtime, token_counts
+from pagemill.llm import bpe, byte_level, decontaminate, language_id, licenses, pii, queries, runtime, token_counts
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,6 +53,23 @@ def test_op5(spark, documents):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
 
 
+def test_op7(spark, documents):
+    """All items against all documents by the whole text's least distance, without pieces or windows."""
+    items = {r.item_id: decontaminate.normalise(r.text) for r in queries.table(spark, SF, "benchmark").collect()}
+    patterns = {i: (decontaminate.Pattern(t), int(len(t) * decontaminate.RATE)) for i, t in items.items() if t}
+    want = {}
+    for k, r in documents.items():
+        text = decontaminate.normalise(r.text)
+        # an edit touches two words at most, and the ends of an item may lie inside words
+        words = set(text.split())
+        for i, (pattern, most) in patterns.items():
+            own = items[i].split()
+            if sum(w in words for w in own) >= len(own) - 2 * most - 2 and (d := pattern.distance(text, most)[0]) <= most:
+                want[k, i] = d
+    got = {(r.doc_id, r.item_id): r.distance for r in queries.op7_decontaminate(spark, SF).collect()}
+    assert got == want and want
+
+
 def test_op10(spark):
     turns = {}
     for r in queries.table(spark, SF, "conversations").collect():
