@@ -408,7 +408,9 @@ def _differences(members: DataFrame, texts: DataFrame, words: int, by_count: boo
     # an element in which more than half of the members differ from the hub is the hub's own oddity
     size = apart.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
     count = runtime.written(apart.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "dedup-counted")
-    odd = count.join(size, "hub").where("2 * k > m").groupBy("hub").agg(F.collect_list("e").alias("odd"))  # at most twice as many as a member has on average
+    # a table between join and grouping, so that Spark can split the counts of a hub that has many
+    odd = runtime.written(count.join(runtime.written(size, "dedup-sizes").hint("merge"), "hub").where("2 * k > m").select("hub", "e"), "dedup-odd")
+    odd = odd.groupBy("hub").agg(F.collect_list("e").alias("odd"))  # at most twice as many as a member has on average
     none = F.array().cast("array<long>")
     flipped = F.concat(F.array_except("d", "odd"), F.array_except("odd", "d"))
     # a hub with two members keeps for each what the other lacks; one that has no odd element stays as it is
