@@ -1,9 +1,10 @@
 """BPE encoding and decoding by tree concatenation.
 
 A long text is halved, wherever the middle falls, until its pieces are short;
-the pieces are encoded on their own, those of a bounded batch at once: the words
-that none of them has met before go to the library in one parallel call. Then
-neighbours are joined level by level.
+the pieces of several texts are encoded on their own, those of a bounded batch at
+once: the words that none has met before go to the library in one parallel call,
+thousands of them as one text, as a call or a result for each word costs more
+than its merges. Then neighbours are joined level by level.
 A join re-encodes a window around the cut: its left edge lies before a white
 space left of the cut, its right edge before one right of it. The window is
 accepted if its first and last tokens are those that the two sides hold there
@@ -32,9 +33,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cached_property
-from itertools import chain
+from itertools import chain, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,8 +49,12 @@ from pagemill.llm import byte_level, runtime
 LEAF, WORD_LEAF = 4096, 256
 #: Characters at first between a cut and an edge of its window.
 WINDOW = 32
-#: Pieces of a text that are encoded at once.
-AT_ONCE = 64
+#: Pieces that are encoded at once, and words that the library gets as one text.
+AT_ONCE, TOGETHER = 64, 4096
+#: Words whose tokens are remembered.
+REMEMBERED = 100_000
+#: Characters of texts whose tokens are held at once; a longer text is alone.
+RUN = 1 << 18
 
 #: The columns that encode() always makes.
 MADE = ("n_tokens", "ids_sha256", "decoded_sha256")
@@ -66,9 +72,10 @@ class Encoder:
         self.special, self.special_ids = byte_level.special_splitter(tokenizer_json)
         self.leaf, self.word_leaf, self.window = leaf, word_leaf, window
         self.json = tokenizer_json
-        self.by_text = byte_level.Memo(lambda s: self.word(byte_level.to_byte_level(s)))
-        self.by_bytes = byte_level.Memo(self.word)
+        self.by_text = byte_level.Memo(lambda s: self.word(byte_level.to_byte_level(s)), REMEMBERED)
+        self.by_bytes = byte_level.Memo(self.word, REMEMBERED)
         self.strings = {i: t for t, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        self.numbers = {i: i for i in self.strings}
 
     # words; the vocabulary without its text steps is loaded only where a long word needs it
 
@@ -76,6 +83,14 @@ class Encoder:
     def suffix(self) -> str:
         return json.loads(self.json)["model"]["end_of_word_suffix"] or ""
 
+    @cached_property
+    def ends(self) -> frozenset[int]:
+        """The tokens that end a word, if each word ends in one: the vocabulary has each byte, alone and with the word-end mark. Else none."""
+        known = set(self.strings.values())
+        if not self.suffix or not all(c in known and c + self.suffix in known for c in byte_level.byte_alphabet()):
+            return frozenset()
+        return frozenset(i for i, t in self.strings.items() if t.endswith(self.suffix))
+
     def _bare(self, suffix: str | None) -> Tokenizer:
         spec = json.loads(self.json)
         spec |= {"added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "model": {**spec["model"], "end_of_word_suffix": suffix}}
@@ -168,54 +183,73 @@ class Encoder:
                     return [*a[: len(a) - len(tail)], *whole, *b[len(head) :]] if held else whole
             width *= 2
 
-    def _leaves(self, text: str) -> list[tuple[int, int, list[int]]]:
-        """The pieces of a text, halved until they are short, with their tokens."""
+    def _halved(self, text: str) -> list[tuple[int, int]]:
+        """The bounds of the pieces of a text, halved until they are short."""
         bounds = [(0, len(text))]
         while bounds[0][1] - bounds[0][0] > self.leaf:
             bounds = [half for a, b in bounds for half in ((a, (a + b) // 2), ((a + b) // 2, b))]
-        out = []
-        for i in range(0, len(bounds), AT_ONCE):
-            some = [text[a:b] for a, b in bounds[i : i + AT_ONCE]]
+        return bounds
+
+    def _leaves(self, texts: list[str], bounds: list[list[tuple[int, int]]]) -> Iterator[list[int]]:
+        """The tokens of the pieces of all texts, one after another."""
+        pieces = ((t, a, b) for t, own in zip(texts, bounds, strict=True) for a, b in own)
+        while some := [t[a:b] for t, a, b in islice(pieces, AT_ONCE)]:
             words = [_FAST.findall(p.lower()) if self._usual(p) else None for p in some]
             self._learn(words)
             known = self.by_text.__getitem__
-            ids = [self.flat(p) if own is None else [*chain.from_iterable(map(known, own))] for p, own in zip(some, words, strict=True)]
-            out += [(a, b, x) for (a, b), x in zip(bounds[i : i + AT_ONCE], ids, strict=True)]
-        return out
+            for piece, own in zip(some, words, strict=True):
+                yield self.flat(piece) if own is None else [*chain.from_iterable(map(known, own))]
 
     def _learn(self, words: list[list[str] | None]) -> None:
-        """Encode the words of all pieces that are not known yet in one parallel call of the library. Words of letters alone are pre-tokens of their own, so this gives what they give in a text."""
-        new = [w for w in set().union(*filter(None, words)) if w not in self.by_text and w.isascii() and w.isalpha() and len(w) <= self.word_leaf]
-        if len(new) > 1:
-            for word, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False), strict=True):
-                self.by_text.learn(word, tuple(e.ids))
-
-    def tree(self, text: str) -> list[int]:
-        """The tokens of a text without added special tokens."""
-        if len(text) <= self.leaf:
-            return self.flat(text)
-        parts = self._leaves(text)
-        while len(parts) > 1:
-            parts = [(a, d, self._join(text, a, b, d, x, y)) for (a, b, x), (_, d, y) in zip(parts[::2], parts[1::2], strict=True)]
-        return parts[0][2]
+        """Encode the words of all pieces that are not known yet in one parallel call of the library, as texts of words between spaces. No word of the fast pattern has the word-end mark inside, so the mark tells where a word ends."""
+        new = set().union(*filter(None, words)).difference(self.by_text)
+        most = min(self.word_leaf // 2, byte_level.LONGEST)  # a usual character has two bytes at most
+        new = [w for w in new if len(w) <= most]
+        if len(new) < 2 or not self.ends:
+            return
+        runs = [new[i : i + TOGETHER] for i in range(0, len(new), TOGETHER)]
+        space = byte_level.to_byte_level(" ")
+        raw = [byte_level.to_byte_level(" ".join(run)).replace(space, " ") for run in runs]
+        for run, e in zip(runs, byte_level.between_spaces(self.json).encode_batch_fast(raw, add_special_tokens=False), strict=True):
+            ids, ends = picked(self.numbers, e.ids), self.ends  # one object for each id, however many words hold it
+            stops = [k for k, i in enumerate(ids, 1) if i in ends]
+            self.by_text.learn_all(run, [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)])
+
+    def trees(self, texts: list[str]) -> list[list[int]]:
+        """The tokens of texts without added special tokens."""
+        bounds = [*map(self._halved, texts)]
+        leaves, out = self._leaves(texts, bounds), []
+        for text, own in zip(texts, bounds, strict=True):
+            parts = [(a, b, next(leaves)) for a, b in own]
+            while len(parts) > 1:
+                parts = [(a, d, self._join(text, a, b, d, x, y)) for (a, b, x), (_, d, y) in zip(parts[::2], parts[1::2], strict=True)]
+            out.append(parts[0][2])
+        return out
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if self.special is None or not self.special.search(text):
-            return self.tree(text)
-        out: list[int] = []
-        for k, part in enumerate(self.special.split(text)):
-            if k % 2:
-                out.append(self.special_ids[part])
-            elif part:
-                out += self.tree(part)
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """The tokens of some texts, all their pieces in batches."""
+        split = [self.special.split(t) if t and self.special else [t or ""] for t in texts]
+        trees = iter(self.trees([part for parts in split for part in parts[::2]]))
+        out = []
+        for parts in split:
+            ids = next(trees)
+            for special in parts[1::2]:
+                ids = [*ids, self.special_ids[special], *next(trees)]
+            out.append(ids)
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> str:
         if self.tok.decoder is not None:
             return self.tok.decode(ids, skip_special_tokens=False)
-        return " ".join(map(self.strings.__getitem__, ids))
+        return " ".join(picked(self.strings, ids))
+
+
+def picked(values: dict, ids: list[int]) -> Sequence:
+    """The value of each id, in one call."""
+    return itemgetter(*ids)(values) if len(ids) > 1 else tuple(values[i] for i in ids)
 
 
 def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep: list[Column | str] | None = None, with_ids: bool = True, with_text: bool = True) -> DataFrame:
@@ -236,13 +270,12 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep: list[
         digits = {i: str(i) for i in encoder.strings}
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
-            for part in runtime.slices([t or "" for t in texts], 4 << 20):
+            for part in runtime.slices([t or "" for t in texts], RUN):
                 n, ids_sha, text_sha, all_ids, all_texts = [], [], [], [], []
-                for i in part:
-                    ids = encoder.encode(texts[i])
+                for ids in encoder.encode_all([texts[i] for i in part]):
                     decoded = encoder.decode(ids)
                     n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(" ".join(picked(digits, ids)).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if with_ids:
                         all_ids.append(ids)

@@ -14,6 +14,9 @@ LETTER = "a-zA-ZªµºÀ-ÖØ-öø-ɏ"
 NUMBER = "0-9²³¹¼-¾"
 UNUSUAL = re.compile("[^\t\n\r\x20-\x7e¡-¬®-ɏ]")
 
+#: Longest string that a memo keeps.
+LONGEST = 64
+
 
 @cache
 def byte_alphabet() -> tuple[str, ...]:
@@ -77,11 +80,15 @@ class Memo(dict):
         return value
 
     def learn(self, key, value) -> None:
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-                self.update(self.known)
-            self[key] = value
+        if len(key) <= LONGEST:
+            self.learn_all([key], [value])
+
+    def learn_all(self, keys: list[str], values: list) -> None:
+        """Learn the values of keys that are not too long."""
+        if len(self) + len(keys) > self.most:
+            self.clear()
+            self.update(self.known)
+        self.update(zip(keys, values, strict=True))
 
 
 @cache
@@ -90,3 +97,10 @@ def tokenizer(tokenizer_json: str) -> Tokenizer:
     tok.no_truncation()
     tok.no_padding()
     return tok
+
+
+@cache
+def between_spaces(tokenizer_json: str) -> Tokenizer:
+    """The vocabulary for texts of pre-tokens in byte-level form, between spaces."""
+    steps = {"added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "truncation": None, "padding": None}
+    return Tokenizer.from_str(json.dumps(json.loads(tokenizer_json) | steps))

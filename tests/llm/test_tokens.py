@@ -67,3 +67,23 @@ def test_frames_with_odd_rows(spark, word_json, byte_json):
     assert got[0].ids_sha256 == hashlib.sha256(" ".join(map(str, got[0].token_ids)).encode()).hexdigest()
     assert [(r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts.count_tokens(docs, byte_json).collect()][2:] == [(0, 0, False), (0, 0, False), (150000, 30001, True)]
     assert bpe.encode(docs.limit(0), word_json).collect() == []
+
+
+def test_new_words_reach_the_library_together(word_json, monkeypatch):
+    """Most words of these texts are met once: neither a call nor a result of the library for each."""
+    calls = []
+    between = byte_level.between_spaces(word_json)
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            calls.append(len(texts))
+            return between.encode_batch_fast(texts, **more)
+
+    monkeypatch.setattr(byte_level, "between_spaces", lambda _: Counted())
+    encoder = bpe.Encoder(word_json)
+    monkeypatch.setattr(encoder, "word", lambda word: pytest.fail(f"{word} alone"))
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abdeinorstéñ") for _ in range(rng.randint(1, 14))) + rng.choice(["", ".", "'s 7", " </w>"]) for _ in range(300)) for _ in range(40)]
+    library = byte_level.tokenizer(word_json)
+    assert encoder.encode_all([None, "", *texts]) == [[], [], *[e.ids for e in library.encode_batch(texts, add_special_tokens=False)]]
+    assert len(calls) == 1 and calls[0] <= 5
