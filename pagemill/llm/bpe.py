@@ -286,4 +286,4 @@ def encode(docs: DataFrame, tokenizer_json: str, text: str = "text", keep: list[
                 rest = batch.slice(part[0], len(part)).columns[:-1]
                 yield pa.RecordBatch.from_arrays([*rest, *columns], [*names, *[x for x, _ in extra]])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(runtime.lean(run), schema)

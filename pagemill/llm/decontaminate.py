@@ -192,7 +192,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: in
                         distances.append(d)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(distances, pa.int32())], [key, item_key, "distance"])
 
-        found = rows.mapInArrow(run, schema)
+        found = rows.mapInArrow(runtime.lean(run), schema)
         out = found if out is None else out.unionAll(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -210,5 +210,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int
             for batch in batches:
                 yield batch.filter(pa.array([not matcher.find(normalise(value.as_py())) for value in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(runtime.lean(run), docs.schema)
     return docs

@@ -173,7 +173,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     log_prob = np.zeros((n_buckets, len(languages)), dtype=np.float32)
     for i in range(0, len(languages), AT_ONCE):
         some = languages[i : i + AT_ONCE]
-        counted = rows.where(chosen & F.col("l").isin(*some)).select("l", "t").mapInArrow(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()
+        counted = rows.where(chosen & F.col("l").isin(*some)).select("l", "t").mapInArrow(runtime.lean(count), "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()
         counts = np.zeros((n_buckets, len(some)))
         at = {name: k for k, name in enumerate(some)}
         counts[counted["bucket"].to_numpy(np.int64), counted["l"].map(at).to_numpy(np.int64)] = counted["n"].to_numpy(np.float64)
@@ -195,7 +195,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[Column
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(value)], [*names, *MADE])
 
     schema = T.StructType(kept.schema.fields[:-1]).add("lang_pred", "string").add("score", "double")
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(runtime.lean(score), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

@@ -65,8 +65,10 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 6
 EPSILON = 1e-9
-#: Most bytes of text hashed at once.
-CHUNK = 1 << 20
+#: Most characters of text hashed at once, and most sets signed at once, as each costs a thousand darts and more however short it is.
+CHUNK, SIGNED_AT_ONCE = 1 << 19, 256
+#: Most characters of texts whose sets are kept.
+KEPT = 8 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
@@ -235,7 +237,7 @@ class Sets:
         for part in runtime.slices([x if len(x) > len(y) else y for x, y in zip(ta, tb, strict=True)], CHUNK):
             named = {i: t for ids, texts in ((a, ta), (b, tb)) for i, t in ((ids[k], texts[k]) for k in part)}
             new = {i: t for i, t in named.items() if i not in self.kept}
-            if self.size + sum(map(len, new.values())) > 8 * CHUNK:
+            if self.size + sum(map(len, new.values())) > KEPT:
                 self.kept.clear()
                 new, self.size = named, 0
             self.size += sum(map(len, new.values()))
@@ -263,13 +265,13 @@ def _digests(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.n
     return values, counts, digest, check
 
 
-def _sign(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int, by_count: bool, unnamed: bool) -> DataFrame:
-    """id, hash of the text, both word digests and band keys of every row that takes part."""
+def _signer(words: int, bands: int, rows: int, by_count: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Makes batches of SIGNED from batches of id, h and t."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("t").to_pylist()
-            for part in runtime.slices(texts, CHUNK):
+            for part in runtime.slices(texts, CHUNK, SIGNED_AT_ONCE):
                 values, counts, digest, check = _digests([texts[i] for i in part], words)
                 elements, weights, counts = weighted(values, counts, by_count)
                 full = counts > 0
@@ -281,7 +283,12 @@ def _sign(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: in
                 own = [batch.column(c).slice(part[0], len(part)) for c in ("id", "h")]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(digest.view(np.int64)), pa.array(check.view(np.int64)), lists], ["id", "h", "words", "check", "bands"])
 
-    return _texts(docs, key, text, unnamed).mapInArrow(run, SIGNED)
+    return run
+
+
+def _sign(docs: DataFrame, key: str, text: str, words: int, bands: int, rows: int, by_count: bool, unnamed: bool) -> DataFrame:
+    """id, hash of the text, both word digests and band keys of every row that takes part."""
+    return _texts(docs, key, text, unnamed).mapInArrow(runtime.lean(_signer(words, bands, rows, by_count)), SIGNED)
 
 
 def _told_apart(signed: DataFrame) -> DataFrame:
@@ -318,7 +325,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int, by_count: bool) ->
                 out[part] = [similarity(x, y) for x, y in both]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out)], ["a", "b", "j"])
 
-    return _with_texts(pairs, texts).mapInArrow(run, "a long, b long, j double")
+    return _with_texts(pairs, texts).mapInArrow(runtime.lean(run), "a long, b long, j double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -404,7 +411,7 @@ def _differences(members: DataFrame, texts: DataFrame, words: int, by_count: boo
                 yield pa.RecordBatch.from_arrays([*own, pa.array([len(x) for x, _ in both], pa.int32()), lists], ["hub", "words", "n", "d"])
 
     pairs = members.select(F.col("words").alias("a"), F.col("hub").alias("b"))
-    apart = runtime.written(_with_texts(pairs, texts).mapInArrow(run, "hub long, words long, n int, d array<long>"), "dedup-apart")
+    apart = runtime.written(_with_texts(pairs, texts).mapInArrow(runtime.lean(run), "hub long, words long, n int, d array<long>"), "dedup-apart")
     # an element in which more than half of the members differ from the hub is the hub's own oddity
     size = apart.groupBy("hub").agg(F.count(F.lit(1)).alias("m"))
     count = runtime.written(apart.select("hub", F.explode("d").alias("e")).groupBy("hub", "e").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "dedup-counted")

@@ -1,19 +1,21 @@
-"""What the operators of this folder share: the shared folder, batches of bounded size, broadcasts of checked size, names of columns."""
+"""What the operators of this folder share: the shared folder, batches of bounded size, broadcasts of checked size, memory given back, names of columns."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most bytes that an operator broadcasts.
 BROADCAST_LIMIT = 256 << 20
 #: Most bytes of text in an Arrow batch handed to Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 #: Paths of tables to drop at the end of each open scope, the innermost last.
 _scopes: list[list[str]] = []
@@ -136,6 +138,25 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches after whose task the worker, which Spark keeps for other tasks, holds no memory that is free."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def check_broadcast(size: int) -> None:
     if size > BROADCAST_LIMIT:
         raise ValueError(f"{size} bytes are too many to broadcast; the limit is {BROADCAST_LIMIT}")
@@ -156,11 +177,11 @@ def read_small_file(path: str, most: int = 64 << 20) -> str:
     return text
 
 
-def slices(texts: list[str], most: int) -> Iterator[list[int]]:
-    """Runs of indices whose texts have at most about so many characters together."""
+def slices(texts: list[str], most: int, rows: int | None = None) -> Iterator[list[int]]:
+    """Runs of indices whose texts have at most about so many characters together, and of so many texts at most."""
     run, size = [], 0
     for i, text in enumerate(texts):
-        if run and size + len(text) > most:
+        if run and (size + len(text) > most or len(run) == rows):
             yield run
             run, size = [], 0
         run.append(i)

@@ -1,7 +1,10 @@
 import re
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import minhash, runtime
@@ -205,3 +208,34 @@ def test_documents(spark):
     rows = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(table(spark, SF, "documents")).collect()}
     assert got == brute(rows)
+
+
+def test_short_texts_are_signed_in_little_memory():
+    """Each set costs a thousand darts and more, so characters alone bound no memory."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 10**6, 130))) for _ in range(1200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1200)), pa.array(range(1200)), pa.array(texts)], ["id", "h", "t"])
+    tracemalloc.start()
+    out = [len(x) for x in minhash._signer(minhash.WORDS, minhash.BANDS, minhash.ROWS, False)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(out) == 1200 and peak < 60 << 20  # at once: over 100 MB
+
+
+def _resident():
+    return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+
+@pytest.mark.skipif(not Path("/proc/self/statm").exists(), reason="reads /proc")
+def test_workers_hold_no_free_memory_after_a_task():
+    held = []
+
+    def run(batches):
+        for x in batches:
+            parts = [np.ones(12_000) for _ in range(2000)]  # 96 KB each: too small to be mapped on their own
+            held.append(parts.pop())  # and the last one keeps the rest from being cut off
+            yield x
+
+    before = _resident()
+    assert [*runtime.lean(run)(iter([1, 2]))] == [1, 2]
+    assert _resident() - before < 60 << 20
