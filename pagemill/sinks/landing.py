@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import threading
 import time
 from collections.abc import Callable, Iterator
@@ -24,10 +25,12 @@ from pagemill.operators import ddl, naming, sizing
 from pagemill.operators.errors import ErrorLog, TooManyErrors, last, summary
 from pagemill.sinks import store
 from pagemill.sources import read
-from pagemill.sources.tps import source_name
+from pagemill.sources.tps import plan_columns, schema_of, source_name
 
 MANIFEST = "_landed.json"
 SCHEMA_SCRIPT = "_schema.sql"
+#: Rows that a task of write_parts encodes, if there are tasks enough for every core.
+ROWS_PER_TASK = 50_000
 
 
 @dataclass
@@ -94,18 +97,19 @@ def land(
 ) -> Landed:
     """Write every table of the databases at a path to ``out_dir``/<name> as Parquet.
 
-    Files are decoded for their catalogs once. Tables land as concurrent Spark jobs
+    Files are decoded for their catalogs once, on the executors. Tables land as concurrent Spark jobs
     on ``threads`` threads (the policy's number, if not given), each in as many tasks
     as it has chunks of pages. A table that fails is tried again as the log's
     strategies say, and does not stop the others, up to ``max_errors``; then what
     has not begun does not begin. A manifest of finished tables lets a later call
     with ``resume`` skip them; it is kept by the output, on any file system. Tables
     of several files with one target name are united by column name, with
-    ``_source_file`` telling them apart. With the option mode=PERMISSIVE, what a
+    ``_source_file`` telling them apart; those with like columns are one scan, as a union
+    has every task know, and report on, all of its branches. With the option mode=PERMISSIVE, what a
     table lost to damage is counted. ``schema_only`` writes empty tables.
     """
     began = time.time()
-    known = read.catalogs(path, **options)
+    known = read.catalogs(path, spark, **options)
     found = read.definitions(path, known=known)
     targets = plan_names(found, strategy)
     done_path = f"{out_dir.rstrip('/')}/{MANIFEST}"
@@ -116,14 +120,25 @@ def land(
     lock = threading.Lock()
     begun = 0
 
-    def frame(parts: list[tuple[str, str]], now: dict) -> DataFrame:
-        made = []
+    def alike(parts: list[tuple[str, str]], now: dict) -> list[list[tuple[str, str]]]:
+        """The parts by table and columns, in the order that they are met in."""
+        lowered = {k.lower(): str(v) for k, v in now.items() if v is not None}
+        groups: dict[tuple, list[tuple[str, str]]] = {}
+        columns: dict[TableDef, tuple] = {}
         for source, table in parts:
-            (file, member), catalog = by_file[source]
             t = found[source, table]
-            rows = next((n for n, _ in t.statistics.values()), None)
-            own = {"pagesPerPartition": policy.pages_per_partition(t.record_size, len(t.fields), rows), **now}
-            df = read.read_table(spark, file, table, known={(file, member): catalog}, **own, sourceFile="true")
+            if t not in columns:
+                columns[t] = schema_of(plan_columns(t, lowered), lowered).json(), t.memos
+            groups.setdefault((table, *columns[t]), []).append((source, table))
+        return list(groups.values())
+
+    def frame(parts: list[tuple[str, str]], now: dict) -> DataFrame:
+        made = []
+        for group in alike(parts, now):
+            some = [found[x] for x in group]
+            pages = min(policy.pages_per_partition(t.record_size, len(t.fields), next((n for n, _ in t.statistics.values()), None)) for t in some)
+            own = {"pagesPerPartition": pages, **now}
+            df = read.read_table(spark, path, group[0][1], known=dict(by_file[s] for s, _ in group), **own, sourceFile="true")
             made.append(df if len(parts) > 1 else df.drop("_source_file"))
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
         return df.limit(0) if schema_only else df
@@ -153,9 +168,10 @@ def land(
             n = result.log.run(work, dict(options), table=name)
             lost = 0
             if str(options.get("mode", "")).upper() == "PERMISSIVE" or any(e.recovery_action == "skip_corrupt_record" and e.context.get("table") == name for e in result.log.entries):
+                by_table: dict[str, dict] = {}
                 for source, table in parts:
-                    (file, member), catalog = by_file[source]
-                    lost += read.damage(spark, file, table, known={(file, member): catalog}, **options).count()
+                    by_table.setdefault(table, {}).update([by_file[source]])
+                lost = sum(read.damage(spark, path, table, known=some, **options).count() for table, some in by_table.items())
             with lock:
                 result.tables[name] = finished[name] = n
                 if lost:
@@ -178,18 +194,34 @@ def land(
 
 def longest(df: DataFrame, encoding: str) -> dict[str, tuple[int, int]]:
     """Most elements, and most encoded bytes of a text, of every column that has texts or arrays; 0 where there is none. One pass over the data."""
-    size = F.udf(lambda values: max((len(str(v).encode(encoding, "replace")) for v in values or [] if v is not None), default=0), "int")
+    return _measured(df, encoding, count_rows=False)[1]
+
+
+def _measured(df: DataFrame, encoding: str, count_rows: bool = True) -> tuple[int, dict[str, tuple[int, int]]]:
+    """The number of rows, and what ``longest`` says of them."""
+    name = codecs.lookup(encoding).name
+    if name.startswith(("cp125", "iso8859", "koi8", "ascii", "latin")):  # a byte for each character, also for those that have none and become a question mark
+        one = F.length
+    elif name == "utf-8":
+        one = F.octet_length
+    else:
+        one = None
+    if one:
+        size = lambda c, many: F.array_max(F.transform(c, one)) if many else one(c)
+    else:
+        encoded = F.udf(lambda values: max((len(str(v).encode(encoding, "replace")) for v in values or [] if v is not None), default=0), "int")
+        size = lambda c, many: encoded(c if many else F.array(c))
     wanted = {}
     for f in df.schema.fields:
         many = isinstance(f.dataType, T.ArrayType)
         if many or isinstance(f.dataType, T.StringType):
             c = F.col(f"`{f.name}`")
             text = isinstance(f.dataType.elementType if many else f.dataType, T.StringType)
-            wanted[f.name] = F.max(F.size(c) if many else F.lit(1)), F.max(size(c if many else F.array(c))) if text else F.lit(0)
-    if not wanted:
-        return {}
-    row = df.agg(*[x.alias(f"c{i}_{k}") for i, pair in enumerate(wanted.values()) for k, x in enumerate(pair)]).first()
-    return {name: (max(row[f"c{i}_0"] or 0, 0), row[f"c{i}_1"] or 0) for i, name in enumerate(wanted)}
+            wanted[f.name] = F.max(F.size(c) if many else F.lit(1)), F.max(size(c, many)) if text else F.lit(0)
+    if not wanted and not count_rows:
+        return 0, {}
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[x.alias(f"c{i}_{k}") for i, pair in enumerate(wanted.values()) for k, x in enumerate(pair)]).first()
+    return row["n"], {name: (max(row[f"c{i}_0"] or 0, 0), row[f"c{i}_1"] or 0) for i, name in enumerate(wanted)}
 
 
 def fields_for(schema: T.StructType, text_size: int = 255, most: dict[str, tuple[int, int]] | None = None) -> tuple[tuple[FieldDef, ...], tuple[MemoDef, ...], int]:
@@ -262,9 +294,13 @@ def write_parts(df: DataFrame, folder: str, table: str, rows_per_file: int = 50_
     All files have the same definition, so the folder reads as one table. The
     folder is one that driver and executors share. Files get names of their task's
     attempt first and their own names once they are whole, so a task that is
-    repeated replaces what its first attempt left.
+    repeated replaces what its first attempt left. Rows are dealt out evenly to as
+    many tasks as their number calls for, as an input of few parts would keep few
+    cores busy.
     """
-    fields, memos, size = fields_for(df.schema, most=longest(df, options.get("encoding", DEFAULT_ENCODING)))
+    n, most = _measured(df, options.get("encoding", DEFAULT_ENCODING))
+    fields, memos, size = fields_for(df.schema, most=most)
+    tasks = min(-(-n // rows_per_file), max(df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK)))
     definition = TableDef(1, table, size, fields, memos)
     names = df.columns
 
@@ -286,7 +322,7 @@ def write_parts(df: DataFrame, folder: str, table: str, rows_per_file: int = 50_
             fs.move(temporary, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(some)], pa.int64())], ["file", "n_rows"])
 
-    done = df.mapInArrow(run, "file string, n_rows long").collect()  # a row for each file
+    done = (df.repartition(tasks) if tasks > 1 else df).mapInArrow(run, "file string, n_rows long").collect()  # a row for each file
     return df.sparkSession.createDataFrame([tuple(r) for r in done], "file string, n_rows long")
 
 

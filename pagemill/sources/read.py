@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pagemill.codec import files, pages
 from pagemill.codec.types import DEFAULT_ENCODING, TableDef
 from pagemill.operators import naming, sizing
-from pagemill.sources.tps import TpsDataSource, catalogs_of, catalogs_text, expand, opened, source_name
+from pagemill.sources.tps import TpsDataSource, catalogs_of, catalogs_text, expand, opened, over_files, source_name
 
 log = logging.getLogger(__name__)
 Catalogs = dict[tuple[str, "str | None"], files.Catalog]
@@ -37,21 +37,21 @@ def databases(path: str, password: str | None = None, encoding: str = DEFAULT_EN
             yield source_name(one, member), db
 
 
-def catalogs(path: str, **options) -> Catalogs:
-    """The catalog of every database at a path. Readers that are given it decode none again."""
-    return catalogs_of(path, {k.lower(): str(v) for k, v in options.items() if v is not None})
+def catalogs(path: str, spark: SparkSession | None = None, **options) -> Catalogs:
+    """The catalog of every database at a path, worked out on the executors of a session if one is given. Readers that are given it decode none again."""
+    return catalogs_of(path, {k.lower(): str(v) for k, v in options.items() if v is not None}, spark)
 
 
-def definitions(path: str, known: Catalogs | None = None, **options) -> dict[tuple[str, str], TableDef]:
+def definitions(path: str, known: Catalogs | None = None, spark: SparkSession | None = None, **options) -> dict[tuple[str, str], TableDef]:
     """The table definitions by (source file, table name)."""
-    return {(source_name(*key), t.name): t for key, c in (catalogs(path, **options) if known is None else known).items() for t in c.tables if t.name}
+    return {(source_name(*key), t.name): t for key, c in (catalogs(path, spark, **options) if known is None else known).items() for t in c.tables if t.name}
 
 
 def catalog(spark: SparkSession, path: str, **options) -> DataFrame:
     """A row per table of every database at a path."""
     rows = [
         (s, t.number, t.name, t.record_size, len(t.fields), len(t.memos), len(t.indexes), next((n for n, _ in t.statistics.values()), None), t.recovered)
-        for (s, _), t in definitions(path, **options).items()
+        for (s, _), t in definitions(path, spark=spark, **options).items()
     ]
     return spark.createDataFrame(rows, CATALOG)
 
@@ -63,13 +63,19 @@ def catalog_totals(tables: DataFrame) -> DataFrame:
 
 def fields(spark: SparkSession, path: str, **options) -> DataFrame:
     """A row per field of every table at a path."""
-    rows = [(s, n, i, f.name, f.type, f.offset, f.size, f.elements, f.decimals) for (s, n), t in definitions(path, **options).items() for i, f in enumerate(t.fields)]
+    rows = [(s, n, i, f.name, f.type, f.offset, f.size, f.elements, f.decimals) for (s, n), t in definitions(path, spark=spark, **options).items() for i, f in enumerate(t.fields)]
     return spark.createDataFrame(rows, FIELDS)
 
 
 def page_warnings(spark: SparkSession, path: str, **options) -> DataFrame:
     """What the integrity checks find."""
-    rows = [(s, w.page, w.what) for s, db in databases(path, **options) for w in db.check()]
+
+    def work(one: tuple[str, str | None]) -> list[tuple[str, int, str]]:
+        with files.Database(one[0], options.get("password"), options.get("encoding", DEFAULT_ENCODING), one[1], options.get("recover", False)) as db:
+            return [(source_name(*one), w.page, w.what) for w in db.check()]
+
+    found = expand(path)
+    rows = [row for some in (over_files(spark, work, found) if len(found) > 1 else map(work, found)) for row in some]
     return spark.createDataFrame(rows, "source_file string, page int, warning string")
 
 
@@ -92,7 +98,7 @@ def estimate(path: str, table: str, known: Catalogs | None = None, pages_sampled
         if definition is None or not c.leaves:
             continue
         step = max(1, len(c.leaves) // pages_sampled)
-        some = c.leaves[::step][:pages_sampled] if len(c.leaves) > pages_sampled else c.leaves
+        some = list(c.leaves)[::step][:pages_sampled] if len(c.leaves) > pages_sampled else list(c.leaves)
         seen = 0
         with opened(*key, lowered) as db:
             for ref in some:
@@ -129,7 +135,7 @@ def read_table(spark: SparkSession, path: str, table: str, memos: bool = True, k
     memo; text memos are decoded, blobs stay bytes, external ones are null, with a
     warning in the log. ``known`` are the path's catalogs, if they have been read.
     """
-    known = catalogs(path, **options) if known is None else known
+    known = catalogs(path, spark, **options) if known is None else known
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     reader = _reader(spark, table, known, options).option("pushdown", pushdown)
     found = next((t for c in known.values() if (t := c.table(table))), None)
