@@ -2,6 +2,7 @@
 
 from pagemill.codec import files
 from pagemill.codec.types import FieldDef, TableDef
+from pagemill.operators.profile import profile
 from pagemill.sinks import landing
 from pagemill.sources import read, tps
 
@@ -39,3 +40,11 @@ def test_tasks_of_a_scan_are_bounded(tmp_path, monkeypatch):
     parts = reader.partitions()
     assert leaves > 12 and len(parts) <= 4
     assert sorted(x for p in parts for b in reader.read(p) for x in b.column("ID").to_pylist()) == [k * 1000 + i for k in range(6) for i in range(50)]
+
+
+def test_distinct_counts_multiply_no_rows(spark):
+    df = spark.createDataFrame([(1, 0.0, "a", None), (2, -0.0, None, None), (None, float("nan"), "b", None), (2, float("nan"), "a", None)], "k int, v double, s string, `odd.name` int")
+    found = profile(df)
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.column_name, r.total_count, r.null_count, r.distinct_count) for r in found.orderBy("column_name").collect()] == [("k", 4, 1, 2), ("odd.name", 4, 4, 0), ("s", 4, 1, 2), ("v", 4, 0, 2)]
+    assert {r.column_name: r.distinct_count for r in profile(df.limit(0)).collect()} == dict.fromkeys(df.columns, 0) and profile(df, approximate=True).columns == found.columns
