@@ -5,7 +5,7 @@ from __future__ import annotations
 import codecs
 import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import suppress
 from dataclasses import dataclass, field
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.codec import files
-from pagemill.codec.types import DEFAULT_ENCODING, FieldDef, MemoDef, TableDef
+from pagemill.codec.types import DEFAULT_ENCODING, ONE_BYTE, FieldDef, MemoDef, TableDef, encode_columns
 from pagemill.operators import ddl, naming, sizing
 from pagemill.operators.errors import ErrorLog, TooManyErrors, last, summary
 from pagemill.sinks import store
@@ -200,7 +200,7 @@ def longest(df: DataFrame, encoding: str) -> dict[str, tuple[int, int]]:
 def _measured(df: DataFrame, encoding: str, count_rows: bool = True) -> tuple[int, dict[str, tuple[int, int]]]:
     """The number of rows, and what ``longest`` says of them."""
     name = codecs.lookup(encoding).name
-    if name.startswith(("cp125", "iso8859", "koi8", "ascii", "latin")):  # a byte for each character, also for those that have none and become a question mark
+    if name.startswith(ONE_BYTE):  # a byte for each character, also for those that have none and become a question mark
         one = F.length
     elif name == "utf-8":
         one = F.octet_length
@@ -310,7 +310,13 @@ def write_parts(df: DataFrame, folder: str, table: str, rows_per_file: int = 50_
         task = TaskContext.get()
         fs, root = (pafs.LocalFileSystem(), folder.removeprefix("file://").removeprefix("file:")) if folder.startswith(("/", "file:")) else pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        rows = (dict(zip(names, row, strict=True)) for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        encoding = options.get("encoding", DEFAULT_ENCODING)
+
+        def records(b: pa.RecordBatch) -> Iterable[bytes | dict]:
+            made = None if memos or "_rec_no" in names or not fields else encode_columns(dict(zip(names, b.columns, strict=True)), definition, encoding)
+            return made if made is not None else (dict(zip(names, row, strict=True)) for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+
+        rows = (row for b in batches for row in records(b))
         for k in count():
             some = list(islice(rows, rows_per_file))
             if not some:

@@ -1,6 +1,12 @@
 """What may not grow with the number of files or pages faster than the input does."""
 
-from pagemill.codec import files
+import datetime as dt
+
+import pyarrow as pa
+import pytest
+from pyspark.sql.pandas.types import to_arrow_type
+
+from pagemill.codec import crypt, files, types
 from pagemill.codec.types import FieldDef, TableDef
 from pagemill.operators.profile import profile
 from pagemill.sinks import landing
@@ -48,3 +54,61 @@ def test_distinct_counts_multiply_no_rows(spark):
     assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.column_name, r.total_count, r.null_count, r.distinct_count) for r in found.orderBy("column_name").collect()] == [("k", 4, 1, 2), ("odd.name", 4, 4, 0), ("s", 4, 1, 2), ("v", 4, 0, 2)]
     assert {r.column_name: r.distinct_count for r in profile(df.limit(0)).collect()} == dict.fromkeys(df.columns, 0) and profile(df, approximate=True).columns == found.columns
+
+
+def test_a_scan_decrypts_windows_not_pages(tmp_path, monkeypatch):
+    path = build(tmp_path / "in", 1, 2000, "pass word") + "/f00.tps"
+    spans = []
+    inner = crypt.decrypt
+    monkeypatch.setattr(crypt, "decrypt", lambda data, key: (spans.append(len(data)), inner(data, key))[1])
+    source = tps.TpsDataSource({"path": path, "table": "AAA", "password": "pass word"})
+    reader = source.reader(source.schema())
+    batches = [b for p in reader.partitions() for b in reader.read(p)]
+    assert [x for b in batches for x in b.column("ID").to_pylist()] == list(range(2000)) and len(batches) == 1
+    with files.Database(path, "pass word") as db:
+        assert len(db.leaves) > 100 > 4 * len(spans)
+        whole = db.read(0, 10**6)
+        monkeypatch.setattr(files, "WINDOW", 256)
+        db.windows.clear()
+        assert db.read(0, 10**6) == whole and db.read(250, 600) == whole[250:850] and db.read(len(whole), 5) == b"" and len(db.windows) <= files.WINDOWS
+
+
+def test_columns_are_encoded_and_decoded_like_rows():
+    days = [dt.date(1, 1, 1), dt.date(9999, 12, 31), dt.date(2024, 2, 29), None, dt.date(1969, 12, 31)]
+    columns = {
+        "I": pa.array([1, -1, None, 2**31 - 1, -(2**31)], pa.int32()), "S": pa.array([1, None, -5, 32767, -32768], pa.int16()), "D": pa.array([0.5, None, float("inf"), -0.0, 1e300]),
+        "F": pa.array([0.5, None, 2.0, -0.0, 1.0], pa.float32()), "T": pa.array(["", None, " жук\t", "漢 x", "ab"]), "W": pa.array(days, pa.date32()),
+    }
+    kinds = {"I": ("LONG", 4), "S": ("SHORT", 2), "D": ("DOUBLE", 8), "F": ("FLOAT", 4), "T": ("STRING", 6), "W": ("DATE", 4)}
+    fields, at = [], 0
+    for name, (kind, size) in kinds.items():
+        fields.append(FieldDef(name, kind, at, size))
+        at += size
+    table = TableDef(1, "T", at, tuple(fields))
+    rows = [dict(zip(columns, row, strict=True)) for row in zip(*(c.to_pylist() for c in columns.values()), strict=True)]
+    raws = types.encode_columns(columns, table)
+    assert raws == [types.encode_record(r, table) for r in rows]
+    odd = [bytes((d, m)) + y.to_bytes(2, "little") for d, m, y in ((0, 1, 2000), (31, 4, 2000), (29, 2, 1900), (1, 13, 2000), (1, 0, 2000), (1, 1, 0), (1, 1, 10000), (255, 255, 65535))]
+    raws += [raws[0][:-4] + x for x in odd] + [raws[0]]
+    for f in fields:
+        kind = to_arrow_type(types.spark_type(f))
+        assert types.arrow_column(raws, (f,), kind).to_pylist() == [types.decode_field(r, f) for r in raws]
+    assert types.encode_columns({"T": pa.array([1.5])}, TableDef(1, "T", 6, (FieldDef("T", "STRING", 0, 6),))) is None
+
+
+def test_catalogs_of_many_files_are_decoded_by_tasks(spark, tmp_path, monkeypatch):
+    path = build(tmp_path / "in", 5)
+    opened = []
+    inner = files.Database.__init__
+    monkeypatch.setattr(files.Database, "__init__", lambda self, *a, **o: (opened.append(a[0]), inner(self, *a, **o))[1])
+    assert read.read_table(spark, path, "AAA").count() == 250 and read.page_warnings(spark, path).count() == 0 and opened == []
+    (tmp_path / "in/z.tps").write_bytes(b"no database" * 100)
+    with pytest.raises(files.NotADatabase):
+        read.read_table(spark, path, "AAA")
+
+
+def test_an_input_of_one_part_is_written_by_several_tasks(spark, tmp_path):
+    made = landing.write_parts(spark.range(2000).selectExpr("CAST(id AS int) AS k", "date_add(DATE'2020-01-01', CAST(id AS int)) AS d").coalesce(1), str(tmp_path / "p"), "T", rows_per_file=100)
+    assert len({r.file.split("-")[1] for r in made.collect()}) > 1
+    got = read.read_table(spark, str(tmp_path / "p"), "T")
+    assert got.selectExpr("count(*)", "count(DISTINCT k)", "max(d)").first() == (2000, 2000, dt.date(2025, 6, 22))
